@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bytemill.llm import near_dedup
+from bytemill.llm import language_id, near_dedup, packing, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_packing": packing.op3,
+        "op6_sharding": sharding.op6,
         "op7_simhash_near_dedup": near_dedup.op7,
+        "op8_language_id": language_id.op8,
     }
 
 
