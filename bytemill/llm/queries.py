@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bytemill.llm import language_id, near_dedup, packing, sharding
+from bytemill.llm import decontaminate, language_id, near_dedup, packing, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_packing": packing.op3,
+        "op5_decontamination": decontaminate.op5,
         "op6_sharding": sharding.op6,
         "op7_simhash_near_dedup": near_dedup.op7,
         "op8_language_id": language_id.op8,
@@ -19,4 +20,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_decontamination": decontaminate.OP5_SQL,
+    }
