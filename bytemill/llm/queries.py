@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bytemill.llm import decontaminate, language_id, near_dedup, packing, sharding
+from bytemill.llm import decontaminate, language_id, near_dedup, packing, sharding, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_sharding": sharding.op6,
         "op7_simhash_near_dedup": near_dedup.op7,
         "op8_language_id": language_id.op8,
+        "op10_substring_dedup": substring_dedup.op10,
     }
 
 
