@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bytemill.llm import decontaminate, language_id, near_dedup, packing, sharding, substring_dedup
+from bytemill.llm import decontaminate, language_id, near_dedup, packing, sharding, substring_dedup, vector_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_packing": packing.op3,
+        "op4_vector_search": vector_search.op4,
         "op5_decontamination": decontaminate.op5,
         "op6_sharding": sharding.op6,
         "op7_simhash_near_dedup": near_dedup.op7,
@@ -22,5 +23,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_vector_search": vector_search.OP4_SQL,
         "op5_decontamination": decontaminate.OP5_SQL,
     }
