@@ -36,6 +36,7 @@ from bytemill.llm.common import read, stage, utf8
 
 WINDOW = 50
 GRAM = 20
+LONG_GRAM = 44
 #: Different regions around one anchor that one automaton takes.
 SHARD = 256
 #: Bytes hashed at once, and words whose windows are looked at at once: they bound a task's memory.
@@ -91,16 +92,16 @@ def word_hashes(text: bytes) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
-def _regions(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
+def _regions(words: np.ndarray, doc: np.ndarray, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """(start, windows, anchor, region) of all regions in ``words``; doc tells the documents apart."""
     if len(words) < WINDOW:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64))
     sums = _runs(words, "word")
-    at = np.arange(len(words) - GRAM + 1)
-    grams = _run_hash(sums, at, at + GRAM, "word")
+    at = np.arange(len(words) - gram + 1)
+    grams = _run_hash(sums, at, at + gram, "word")
     place = np.uint64((1 << 20) - 1)
     least = (grams & ~place) | at.astype(np.uint64)  # ties: the first one
-    span, reach = 1, WINDOW - GRAM + 1
+    span, reach = 1, WINDOW - gram + 1
     while span < reach:
         step = min(span, reach - span)
         least = np.minimum(least[:-step], least[step:])
@@ -271,31 +272,57 @@ def _by_automata(contents: DataFrame) -> DataFrame:
 
 
 def _by_windows(contents: DataFrame) -> DataFrame:
-    """The same for shards of any size: each window's smallest document."""
+    """The same for shards of any size: each window's smallest document.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Windows are named anew by runs of ``LONG_GRAM`` words; only those whose run
+    occurs elsewhere are looked at one by one.
+    """
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            rows = []
             for anchor, region, doc_id, words in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                values = np.frombuffer(words, np.uint32).astype(np.uint64)
+                start, n, gram, _ = _regions(values, np.zeros(len(values), np.int8), LONG_GRAM)
+                rows += [
+                    (g, anchor, region, doc_id, at, words[4 * at : 4 * (at + k + WINDOW - 1)])
+                    for g, at, k in zip(gram.view(np.int64).tolist(), start.tolist(), n.tolist(), strict=True)
+                ]
+            columns = zip(*rows, strict=True) if rows else [[]] * 6
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            names = ["gram", "anchor", "region", "doc_id", "at", "words"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for anchor, region, doc_id, first, words in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 sums = _runs(np.frombuffer(words, np.uint32).astype(np.uint64), "word")
                 at = np.arange(len(sums) - WINDOW)
                 h = _run_hash(sums, at, at + WINDOW, "word").view(np.int64)
                 same = [pa.array(np.full(len(at), x, np.int64)) for x in (anchor, region, doc_id)]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(at.astype(np.int32)), pa.array(h)], ["anchor", "region", "doc_id", "at", "h"])
+                yield pa.RecordBatch.from_arrays([*same, pa.array((at + first).astype(np.int32)), pa.array(h)], ["anchor", "region", "doc_id", "at", "h"])
 
-    windows = contents.select("anchor", "region", "doc_id", "words").mapInArrow(run, "anchor long, region long, doc_id long, at int, h long")
-    first = windows.groupBy("h").agg(F.min("doc_id").alias("first"))
-    return windows.join(first, "h").where("first < doc_id").select("anchor", "region", "at", F.lit(WINDOW).alias("length"))
+    named = contents.select("anchor", "region", "doc_id", "words").mapInArrow(
+        runs, "gram long, anchor long, region long, doc_id long, at int, words binary"
+    )
+    named = stage(named, "named")
+    often = stage(named.groupBy("gram").count().where("count > 1").select("gram"), "often")
+    met = named.join(often, "gram").select("anchor", "region", "doc_id", "at", "words")
+    met = stage(met.mapInArrow(windows, "anchor long, region long, doc_id long, at int, h long"), "windows")
+    first = stage(met.groupBy("h").agg(F.min("doc_id").alias("first")), "first")
+    return met.join(first, "h").where("first < doc_id").select("anchor", "region", "at", F.lit(WINDOW).alias("length"))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, tag, start, length): word spans to remove; ``docs`` has doc_id, tag and text."""
     all_regions = stage(_anchors(docs), "regions")
-    often = all_regions.groupBy("anchor").count().where("count > 1").select("anchor")
+    # joined tables are staged first: then both sides of a join are plain shuffles, and hot keys are split
+    often = stage(all_regions.groupBy("anchor").count().where("count > 1").select("anchor"), "often")
     shared = stage(all_regions.join(often, "anchor"), "shared")
     kinds = shared.groupBy("anchor", "region").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"))
     kinds = stage(kinds, "kinds")
-    shards = kinds.groupBy("anchor").agg(F.count("*").alias("regions"), F.min("first").alias("least"), F.max("first").alias("most"))
-    kinds = kinds.join(shards, "anchor").where("rows > 1 OR (regions > 1 AND least < most)")
+    shards = stage(kinds.groupBy("anchor").agg(F.count("*").alias("regions"), F.min("first").alias("least"), F.max("first").alias("most")), "shards")
+    kinds = stage(kinds.join(shards, "anchor").where("rows > 1 OR (regions > 1 AND least < most)"), "kinds")
     placed = stage(shared.join(kinds, ["anchor", "region"]), "placed")
     whole = placed.where("doc_id > first").select("doc_id", "tag", "start", (F.col("n") + WINDOW - 1).alias("length"))
 
