@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bytemill.llm import decontaminate, language_id, near_dedup, packing, sharding, substring_dedup, vector_search
+from bytemill.llm import decontaminate, language_id, lm_score, near_dedup, packing, sharding, substring_dedup, vector_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_sharding": sharding.op6,
         "op7_simhash_near_dedup": near_dedup.op7,
         "op8_language_id": language_id.op8,
+        "op9_lm_score": lm_score.op9,
         "op10_substring_dedup": substring_dedup.op10,
     }
 
