@@ -35,7 +35,9 @@ CENTROIDS = 16
 SAMPLE = 20_000
 ROUNDS = 6
 RERANK = 150
-QUERIES = 4096
+#: Queries and candidates that meet in one task, about.
+QUERIES = 1024
+CANDIDATES = 32_768
 #: (d - 1) T^2 / (1 - T^2) for d = 64 and T = 0.2, the share of the norm from which scores matter.
 ETA = 2.6
 
@@ -179,7 +181,7 @@ def search(vectors: DataFrame, k: int = NEAREST, every: int = EVERY) -> DataFram
 
     kind = valid.schema["embedding"].dataType.simpleString()
     blocks = max(1, ceil(counts["queries"] / QUERIES))
-    shares = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks)
+    shares = max(1, ceil(counts["all"] / CANDIDATES))
     candidates = valid.mapInArrow(index, f"vec_id long, embedding {kind}, codes binary").select(
         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shares)).cast("int").alias("share"), "vec_id", "embedding", "codes"
     )
