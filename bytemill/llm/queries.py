@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bytemill.llm import decontaminate, language_id, lm_score, near_dedup, packing, secret_scan, sharding, substring_dedup, vector_search
+from bytemill.llm import decontaminate, language_id, lm_score, near_dedup, packing, secret_scan, sharding, substring_dedup, toxicity, vector_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": toxicity.op1,
         "op2_secret_scan": secret_scan.op2,
         "op3_packing": packing.op3,
         "op4_vector_search": vector_search.op4,
