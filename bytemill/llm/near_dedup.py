@@ -1,13 +1,19 @@
-"""SimHash near-duplicates: bit-sliced comparison of 64-bit fingerprints.
-
-Fingerprints are made in Arrow batches. Pairs within the radius are found by
-pigeonhole: the 64 bits are cut into ``radius + 2`` blocks, and two fingerprints
-that differ in at most ``radius`` bits agree in at least two blocks, so each
-fingerprint is filed once under every pair of blocks. Inside a file the members
-are compared bit-sliced: plane k holds bit k of 64 members in one machine word,
-carry-save counters add up 64 distances at a time, and a word whose lanes have
-all passed the radius is abandoned. Links become components by alternating
-large-star and small-star passes, which are DataFrame joins.
+"""SimHash near-duplicates: bit-sliced comparison of fingerprints.
+
+Fingerprints are made in Arrow batches and filed in tables, each under a mask of
+its bits; only the members of one file are compared. ``near_duplicates`` links
+64-bit fingerprints within a small radius, without a miss: the bits are cut into
+``radius + 2`` blocks, and two fingerprints that close agree in at least two
+blocks, so the masks are all pairs of blocks. ``similar`` links texts by the
+similarity of their shingle sets: the angle between sets of similarity s shows in
+the share of differing bits of a wider fingerprint, and random masks, as many as
+the number of texts asks for, bring such pairs together.
+
+Inside a file the members are compared bit-sliced: plane k holds bit k of 64
+members in one machine word, carry-save counters add up 64 distances at a time,
+and a word whose lanes have all passed the radius is abandoned. Links become
+components by alternating large-star and small-star passes, which are DataFrame
+joins.
 
 Files over ``TILE`` members are cut into tiles that are compared pairwise in
 different tasks, so no file lands whole in one task; equal fingerprints are one
@@ -21,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import acos, ceil, log, log2, pi
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +40,8 @@ SHINGLE = 4
 SEED = 42
 RADIUS = 4
 TILE = 4096
+#: For ``similar``: words of the fingerprint, shingle length, and the share of pairs just as similar that no table may bring together.
+WIDE, WIDE_SHINGLE, MISSED = 4, 5, 0.1
 #: Comparison words handled at once, which bounds a task's memory.
 PAIRS_AT_ONCE = 1 << 19
 
@@ -49,89 +58,121 @@ def _bit_counts(hashes: np.ndarray) -> np.ndarray:
     return sums.view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """SimHash of one text: majority bits over XXH64 of its word shingles."""
+def fingerprint(text: bytes, shingle: int = SHINGLE, wide: int = 1, seed: int = SEED) -> list[int]:
+    """SimHash of one text: majority bits over XXH64 of its word shingles, and over remixes of that hash for further words."""
     import xxhash
 
     words = text.lower().split()  # on bytes: A-Z only, and ASCII white space only
     if not words:
-        return 0
+        return [0] * wide
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(words) - shingle + 1)
     ends = ends[min(shingle, len(words)) - 1 :]
-    counts = np.zeros(64, np.int64)
+    counts = np.zeros((wide, 64), np.int64)
     for at in range(0, n, 1 << 16):
         spans = zip(starts[at : min(n, at + (1 << 16))].tolist(), ends[at : at + (1 << 16)].tolist(), strict=True)
-        counts += _bit_counts(np.array([digest(joined[a:b], seed) for a, b in spans], np.uint64))
-    return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
+        hashes = np.array([digest(joined[a:b], seed) for a, b in spans], np.uint64)
+        for k in range(wide):
+            counts[k] += _bit_counts(hashes)
+            if k < wide - 1:
+                hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+                hashes ^= hashes >> np.uint64(32)
+    return [int.from_bytes(np.packbits(2 * c > n, bitorder="little").tobytes(), "little") for c in counts]
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, wide: int = 1) -> DataFrame:
+    """(doc_id, f0, f1, ...): the fingerprint as signed longs."""
+    names = ["doc_id", *(f"f{k}" for k in range(wide))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            fp = np.array([fingerprint(t, shingle, wide) for t in b.column(1).to_pylist()], np.uint64).reshape(-1, wide)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in fp.T)], names)
 
-    return docs.select("doc_id", utf8("text").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", utf8("text").alias("text")).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def _filed(prints: DataFrame, radius: int) -> DataFrame:
-    """(key, tile, lane, fp): each fingerprint under each pair of blocks, large files tiled."""
+def block_masks(radius: int) -> list[tuple[int, ...]]:
+    """All pairs of ``radius + 2`` blocks of 64 bits."""
     n = radius + 2
     edges = [64 * i // n for i in range(n + 1)]
+    blocks = [(1 << edges[i + 1]) - (1 << edges[i]) for i in range(n)]
+    return [(a | b,) for a, b in combinations(blocks, 2)]
+
+
+def random_masks(rows: int, share: float, wide: int) -> list[tuple[int, ...]]:
+    """Masks of about log2(rows) bits; so many that all but ``MISSED`` of pairs with that share of differing bits meet."""
+    bits = min(64 * wide, max(12, ceil(log2(max(rows, 2)))))
+    tables = ceil(log(1 / MISSED) / -log(1 - (1 - share) ** bits))
+    rng = np.random.default_rng(11)
+    masks = []
+    for _ in range(tables):
+        mask = sum(1 << int(i) for i in rng.choice(64 * wide, bits, replace=False))
+        masks.append(tuple(mask >> (64 * k) & ((1 << 64) - 1) for k in range(wide)))
+    return masks
+
 
-    def block(i: int):
-        return F.shiftrightunsigned("fp", edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1))
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
-    keys = [
-        F.lit(t << 40).bitwiseOR(F.shiftleft(block(i), edges[j + 1] - edges[j])).bitwiseOR(block(j))
-        for t, (i, j) in enumerate(combinations(range(n), 2))
-    ]
-    filed = prints.select("fp", F.explode(F.array(*keys)).alias("key"))
+
+def _filed(prints: DataFrame, masks: list[tuple[int, ...]]) -> DataFrame:
+    """(key, tile, lane, node, f0, ...): each fingerprint under each mask, large files tiled."""
+    words = [c for c in prints.columns if c != "node"]
+    keys = [F.xxhash64(F.lit(t), *[F.col(c).bitwiseAND(F.lit(_signed(m))) for c, m in zip(words, mask, strict=True)]) for t, mask in enumerate(masks)]
+    filed = prints.select("node", *words, F.explode(F.array(*keys)).alias("key"))
     large = filed.groupBy("key").count().where(F.col("count") > TILE).select("key", F.ceil(F.col("count") / TILE).cast("int").alias("tiles"))
-    own = F.pmod(F.xxhash64("fp"), F.coalesce("tiles", F.lit(1))).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.coalesce("tiles", F.lit(1))).cast("int")
     return (
-        filed.join(large, "key", "left")
+        filed.join(stage(large, "large"), "key", "left")
         .withColumn("own", own)
         .withColumn("tile", F.explode(F.sequence("own", F.coalesce("tiles", F.lit(1)) - 1)))
-        .select("key", "tile", (F.col("tile") == F.col("own")).alias("lane"), "fp")
+        .select("key", "tile", (F.col("tile") == F.col("own")).alias("lane"), "node", *words)
     )
 
 
 def _planes(members: np.ndarray) -> np.ndarray:
-    """Bit planes: row k, word w holds bit k of members 64w to 64w+63."""
-    bits = np.unpackbits(members.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    bits = np.concatenate([bits, np.zeros((-len(members) % 64, 64), np.uint8)])
+    """Bit planes of (members, words): row k, word w holds bit k of members 64w to 64w+63."""
+    bits = np.unpackbits(np.ascontiguousarray(members).view(np.uint8), axis=1, bitorder="little")
+    bits = np.concatenate([bits, np.zeros((-len(members) % 64, bits.shape[1]), np.uint8)])
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)
 
 
 def _near(planes: np.ndarray, word: np.ndarray, query: np.ndarray, valid: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the comparisons with a lane within ``radius`` (2 to 6), and those lanes as bits."""
+    """Positions of the comparisons with a lane within ``radius``, and those lanes as bits."""
     at = np.arange(len(word))
-    low = np.zeros(len(word), np.uint64)
-    mid, high, over = low.copy(), low.copy(), low.copy()
-    for k in range(0, 64, 2):
-        a = planes[k][word] ^ (np.uint64(0) - ((query >> np.uint64(k)) & _ONE))
-        b = planes[k + 1][word] ^ (np.uint64(0) - ((query >> np.uint64(k + 1)) & _ONE))
+    counter = [np.zeros(len(word), np.uint64) for _ in range(radius.bit_length())]
+    over = np.zeros(len(word), np.uint64)
+    for k in range(0, len(planes), 2):
+        q = query[:, k // 64]
+        a = planes[k][word] ^ (np.uint64(0) - ((q >> np.uint64(k % 64)) & _ONE))
+        b = planes[k + 1][word] ^ (np.uint64(0) - ((q >> np.uint64(k % 64 + 1)) & _ONE))
+        low = counter[0]
         part = low ^ a
         carry = (low & a) | (part & b)
-        low = part ^ b
-        up = mid & carry
-        mid ^= carry
-        over |= high & up
-        high |= up
-        if k % 8 == 6:
-            # limits 2..6 of a three-bit counter; over: eight or more
-            past = {2: high | (mid & low), 3: high, 4: high & (mid | low), 5: high & mid, 6: high & mid & low}[radius] | over
+        counter[0] = part ^ b
+        for c in counter[1:]:
+            up = c & carry
+            c ^= carry
+            carry = up
+        over |= carry
+        if k % 8 == 6 and k > 2 * radius or k == len(planes) - 2:
+            past, equal = over.copy(), ~np.uint64(0)  # the vertical number against the radius, from the top bit
+            for i in reversed(range(len(counter))):
+                if radius >> i & 1:
+                    equal = equal & counter[i]
+                else:
+                    past |= equal & counter[i]
+                    equal = equal & ~counter[i]
             live = (valid & ~past) != 0
-            if k == 62 or live.mean() < 0.8:
-                at, word, query, valid, past = (x[live] for x in (at, word, query, valid, past))
-                low, mid, high, over = (x[live] for x in (low, mid, high, over))
-    return at, valid & ~past if len(at) else valid
+            if k == len(planes) - 2:
+                return at[live], (valid & ~past)[live]
+            if live.mean() < 0.8:
+                at, word, query, valid, over = (x[live] for x in (at, word, query, valid, over))
+                counter = [c[live] for c in counter]
+    raise AssertionError("no planes")
 
 
 def _settle(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -145,17 +186,15 @@ def _settle(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = step
 
 
-def _links(key: np.ndarray, lane: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links of the rows, which are whole groups sorted by key with lanes first."""
-    first = np.concatenate([[True], key[1:] != key[:-1]])
+def _links(first: np.ndarray, lane: np.ndarray, node: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links of the rows, which are whole groups with lanes first; ``first`` marks where each begins."""
     group = np.cumsum(first) - 1
-    members = np.bincount(group)
-    keep = members[group] > 1
-    group, lane, fp = group[keep], lane[keep], fp[keep]
+    keep = np.bincount(group)[group] > 1
+    group, lane, node, fp = group[keep], lane[keep], node[keep], fp[keep]
     label = np.arange(len(fp))
     rows = np.flatnonzero(lane)
     if not len(rows):
-        return fp[:0], fp[:0]
+        return node[:0], node[:0]
     planes = _planes(fp[rows])
     of = group[rows]
     begin, end = np.searchsorted(of, group, "left"), np.searchsorted(of, group, "right")
@@ -174,29 +213,36 @@ def _links(key: np.ndarray, lane: np.ndarray, fp: np.ndarray, radius: int) -> tu
         right = np.clip(64 * word + 64 - end[q], 0, 63).astype(np.uint64)
         valid = (~np.uint64(0) << left) & (~np.uint64(0) >> right)
         hit, lanes = _near(planes, word, fp[some[q]], valid, radius)
-        if len(hit):
-            i, j = np.nonzero(np.unpackbits(lanes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-            _settle(label, some[q[hit[i]]], rows[64 * word[hit[i]] + j])
+        for k in range(0, len(hit), 1 << 14):
+            i, j = np.nonzero(np.unpackbits(lanes[k : k + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+            i = hit[k + i]
+            _settle(label, some[q[i]], rows[64 * word[i] + j])
         at = to
     moved = np.flatnonzero(label != np.arange(len(fp)))
-    return fp[moved], fp[label[moved]]
+    return node[moved], node[label[moved]]
+
 
+def links(prints: DataFrame, radius: int, masks: list[tuple[int, ...]]) -> DataFrame:
+    """(a, b): nodes of ``prints`` (node, f0, ...) linked so that every two that meet at ``radius`` or less are connected.
 
-def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b): links that join every two fingerprints at ``radius`` or less, one spanning tree per file and tile."""
+    Each file and tile gives one spanning tree, not all its pairs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
 
-        def out(parts):
-            a, b = _links(*parts, radius)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+        def out(parts: list[np.ndarray]) -> pa.RecordBatch:
+            key, tile, lane, node, fp = parts
+            first = np.concatenate([[True], (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])])
+            a, b = _links(first, lane, node, fp, radius)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
-            key = np.asarray(batch.column(0)) * 4096 + np.asarray(batch.column(1))
-            now = [key, np.asarray(batch.column(2).to_numpy(zero_copy_only=False), bool), np.asarray(batch.column(3)).view(np.uint64)]
+            key, tile, lane, node, *fp = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            now = [key, tile, lane.astype(bool), node, np.stack(fp, axis=1).view(np.uint64)]
             held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
-            last = int(np.searchsorted(held[0], held[0][-1], "left"))
+            other = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]))
+            last = int(other[-1]) + 1 if len(other) else 0
             if last >= 50_000:
                 yield out([x[:last] for x in held])
                 held = [x[last:] for x in held]
@@ -204,7 +250,7 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
             yield out(held)
 
     return (
-        _filed(prints, radius)
+        _filed(prints, masks)
         .repartition("key", "tile")
         .sortWithinPartitions("key", "tile", F.desc("lane"))
         .mapInArrow(run, "a long, b long")
@@ -235,15 +281,34 @@ def components(edges: DataFrame) -> DataFrame:
         seen = state
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs``."""
-    prints = stage(fingerprints(docs, shingle), "fingerprints")
-    unique = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(unique, radius))
-    labelled = unique.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+def _components(prints: DataFrame, radius: int, masks: list[tuple[int, ...]] | None, share: float = 0.0) -> DataFrame:
+    """``prints`` (doc_id, node, f0, ...) with component_id."""
+    words = [c for c in prints.columns if c not in ("doc_id", "node")]
+    unique = stage(prints.groupBy("node").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in words]), "unique")
+    masks = masks or random_masks(unique.count(), share, len(words))
+    roots = components(links(unique.select("node", *words), radius, masks)).withColumnRenamed("node", "member")
+    labelled = unique.join(roots, F.col("node") == F.col("member"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     labelled = stage(labelled, "labelled")
-    named = labelled.join(labelled.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
-    return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    named = labelled.join(labelled.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("node", "component_id")
+    return prints.join(stage(named, "named"), "node", "left")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, fp, component_id): every two fingerprints at ``radius`` or less are in one component."""
+    prints = stage(fingerprints(docs, shingle).withColumn("node", F.col("f0")), "fingerprints")
+    return _components(prints, radius, block_masks(radius)).select("doc_id", F.col("f0").alias("fp"), "component_id")
+
+
+def similar(docs: DataFrame, similarity: float = 0.8, shingle: int = WIDE_SHINGLE, wide: int = WIDE) -> DataFrame:
+    """(doc_id, component_id): texts whose shingle sets have about that Jaccard similarity or more are in one component.
+
+    The radius is the expected number of differing bits plus one standard deviation.
+    """
+    share = acos(2 * similarity / (1 + similarity)) / pi
+    radius = round(64 * wide * share + (64 * wide * share * (1 - share)) ** 0.5)
+    words = [f"f{k}" for k in range(wide)]
+    prints = stage(fingerprints(docs, shingle, wide).withColumn("node", F.xxhash64(*words)), "fingerprints")
+    return _components(prints, radius, None, share).select("doc_id", "component_id")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,8 +316,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """One row of each component stays: the one with the smallest id (of rows that repeat it, any one)."""
-    found = near_duplicates(docs, radius, shingle)
-    heads = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """One row of each component stays: the one with the smallest id (of rows that repeat it, any one).
+
+    Of rows with a null id, which can't be told apart, one stays.
+    """
+    gone = similar(docs, similarity).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(stage(gone, "gone"), "doc_id", "left_anti").dropDuplicates(["doc_id"])
