@@ -217,4 +217,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows whose language is recognised with a score of ``least`` or more; all columns stay."""
-    return predict(docs, train(docs), *docs.columns).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
+    found = predict(docs, train(docs), *docs.columns)
+    # the last two columns are the prediction's, whatever the names of the others
+    named = found.toDF(*docs.columns, "__lang_pred", "__score")
+    return named.where((F.col("__lang_pred") != UNKNOWN) & (F.col("__score") >= least)).select(*docs.columns)
