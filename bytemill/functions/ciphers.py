@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bytemill.functions.buffers import xor16
 from bytemill.functions.digests import hmac
@@ -24,7 +25,7 @@ BLOCK = 16
 ZERO = bytes(BLOCK)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def xor_bytes(a: pd.Series, b: pd.Series) -> pd.Series:
     """XOR of ``a`` with as many bytes of ``b``."""
 

@@ -13,6 +13,7 @@ import hmac as _hmac
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bytemill.functions.errors import require
 
@@ -68,7 +69,7 @@ def _cut(name: str, value: Column, length: int | None) -> Column:
     return F.substring(value, 1, length)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def adler32(data: pd.Series) -> pd.Series:
     """Adler-32 as an unsigned value. CRC-32 is Spark's own ``crc32``."""
     import zlib

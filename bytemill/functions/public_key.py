@@ -12,6 +12,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bytemill.functions.errors import require
 
@@ -26,7 +27,7 @@ DIGEST_PREFIX = {
 }
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def mod_pow(base: pd.Series, exponent: pd.Series, modulus: pd.Series) -> pd.Series:
     """base ** exponent mod modulus."""
 
@@ -39,7 +40,7 @@ def mod_pow(base: pd.Series, exponent: pd.Series, modulus: pd.Series) -> pd.Seri
     return pd.Series([one(*x) for x in zip(base, exponent, modulus, strict=True)], dtype=object)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def rsa_crt(message: pd.Series, p: pd.Series, q: pd.Series, dp: pd.Series, dq: pd.Series, qinv: pd.Series) -> pd.Series:
     """The RSA private operation from the primes, by Chinese remainders."""
 
@@ -53,7 +54,7 @@ def rsa_crt(message: pd.Series, p: pd.Series, q: pd.Series, dp: pd.Series, dq: p
     return pd.Series([one(*x) for x in zip(message, p, q, dp, dq, qinv, strict=True)], dtype=object)
 
 
-@F.pandas_udf("n binary, d binary, dp binary, dq binary, qinv binary")
+@F.pandas_udf(T.StructType([T.StructField(name, T.BinaryType()) for name in ("n", "d", "dp", "dq", "qinv")]))
 def rsa_keys(e: pd.Series, p: pd.Series, q: pd.Series) -> pd.DataFrame:
     """The key that public exponent and primes give; null fields where e has no inverse."""
     rows = []
@@ -98,7 +99,7 @@ def dh_shared(bits: int, public: Column, secret: Column, p: Column) -> Column:
     return dh_public(bits, public, secret, p)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def x25519(secret: pd.Series, point: pd.Series) -> pd.Series:
     """The Montgomery ladder of RFC 7748 on curve25519; both sides 32 bytes, little-endian."""
     prime, a24 = 2**255 - 19, 121665
