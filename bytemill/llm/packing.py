@@ -36,8 +36,8 @@ WORD_CUT = 64
 STEP = 64
 PER_SEQUENCE = 16
 BLOCK = 64 * SEQUENCE
-#: Distinct words a task remembers before it starts afresh.
-REMEMBERED = 400_000
+#: Distinct words a Python worker remembers before it starts afresh: it keeps them between tasks.
+REMEMBERED = 100_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
