@@ -1,13 +1,10 @@
-"""SimHash near-duplicates: bit-sliced comparison of fingerprints.
+"""Near-duplicates: SimHash fingerprints within a radius, and shingle sets by exact Jaccard similarity.
 
-Fingerprints are made in Arrow batches and filed in tables, each under a mask of
-its bits; only the members of one file are compared. ``near_duplicates`` links
-64-bit fingerprints within a small radius, without a miss: the bits are cut into
-``radius + 2`` blocks, and two fingerprints that close agree in at least two
-blocks, so the masks are all pairs of blocks. ``similar`` links texts by the
-similarity of their shingle sets: the angle between sets of similarity s shows in
-the share of differing bits of a wider fingerprint, and random masks, as many as
-the number of texts asks for, bring such pairs together.
+``near_duplicates`` links 64-bit fingerprints within a small radius, without a
+miss: the bits are cut into ``radius + 2`` blocks, and two fingerprints that close
+agree in at least two blocks, so the masks are all pairs of blocks. Fingerprints
+are made in Arrow batches and filed in tables, each under a mask of its bits; only
+the members of one file are compared.
 
 Inside a file the members are compared bit-sliced: plane k holds bit k of 64
 members in one machine word, carry-save counters add up 64 distances at a time,
@@ -17,7 +14,17 @@ joins.
 
 Files over ``TILE`` members are cut into tiles that are compared pairwise in
 different tasks, so no file lands whole in one task; equal fingerprints are one
-row from the start. Nulls: a null text has no words, hence fingerprint zero. A
+row from the start.
+
+``similar`` links texts whose sets of distinct shingles have at least a given
+Jaccard similarity, exactly (but for collisions of 64-bit hashes). Two such sets
+share one of their first shingles in any fixed order, so texts meet by a join on
+those; every pair that meets is verified on the whole sets. The order puts
+shingles last that a sample of the texts shows to be common: that keeps groups
+small and decides nothing else. First each member of a group meets one leader
+only; then those that are not connected yet meet each other.
+
+Nulls: a null text has no words, hence fingerprint zero and an empty set. A
 row with a null ``doc_id`` gets a fingerprint, but ids decide the representative,
 so its ``component_id`` is the smallest non-null id of its component (null if
 none). Repeated rows each get their own output row.
@@ -27,11 +34,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import acos, ceil, log, log2, pi
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bytemill.llm.common import read, stage, utf8
@@ -40,8 +47,8 @@ SHINGLE = 4
 SEED = 42
 RADIUS = 4
 TILE = 4096
-#: For ``similar``: words of the fingerprint, shingle length, and the share of pairs just as similar that no table may bring together.
-WIDE, WIDE_SHINGLE, MISSED = 4, 5, 0.1
+#: For ``similar``: words of a shingle; texts looked at for common shingles, in how many of them a shingle is common, and how many are put in order at most.
+WIDE_SHINGLE, LOOKED_AT, OFTEN, COMMONEST = 5, 10_000, 5, 1 << 16
 #: Comparison words handled at once, which bounds a task's memory.
 PAIRS_AT_ONCE = 1 << 19
 
@@ -58,22 +65,29 @@ def _bit_counts(hashes: np.ndarray) -> np.ndarray:
     return sums.view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE, wide: int = 1, seed: int = SEED) -> list[int]:
-    """SimHash of one text: majority bits over XXH64 of its word shingles, and over remixes of that hash for further words."""
+def _hashes(text: bytes, shingle: int, seed: int = SEED) -> Iterator[np.ndarray]:
+    """XXH64 of the word shingles of one text, in parts; a shorter text is one shingle, and one without words has none."""
     import xxhash
 
     words = text.lower().split()  # on bytes: A-Z only, and ASCII white space only
     if not words:
-        return [0] * wide
+        return
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(words) - shingle + 1)
     ends = ends[min(shingle, len(words)) - 1 :]
-    counts = np.zeros((wide, 64), np.int64)
     for at in range(0, n, 1 << 16):
         spans = zip(starts[at : min(n, at + (1 << 16))].tolist(), ends[at : at + (1 << 16)].tolist(), strict=True)
-        hashes = np.array([digest(joined[a:b], seed) for a, b in spans], np.uint64)
+        yield np.array([digest(joined[a:b], seed) for a, b in spans], np.uint64)
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE, wide: int = 1, seed: int = SEED) -> list[int]:
+    """SimHash of one text: majority bits over XXH64 of its word shingles, and over remixes of that hash for further words."""
+    counts = np.zeros((wide, 64), np.int64)
+    n = 0
+    for hashes in _hashes(text, shingle, seed):
+        n += len(hashes)
         for k in range(wide):
             counts[k] += _bit_counts(hashes)
             if k < wide - 1:
@@ -102,18 +116,6 @@ def block_masks(radius: int) -> list[tuple[int, ...]]:
     return [(a | b,) for a, b in combinations(blocks, 2)]
 
 
-def random_masks(rows: int, share: float, wide: int) -> list[tuple[int, ...]]:
-    """Masks of about log2(rows) bits; so many that all but ``MISSED`` of pairs with that share of differing bits meet."""
-    bits = min(64 * wide, max(12, ceil(log2(max(rows, 2)))))
-    tables = ceil(log(1 / MISSED) / -log(1 - (1 - share) ** bits))
-    rng = np.random.default_rng(11)
-    masks = []
-    for _ in range(tables):
-        mask = sum(1 << int(i) for i in rng.choice(64 * wide, bits, replace=False))
-        masks.append(tuple(mask >> (64 * k) & ((1 << 64) - 1) for k in range(wide)))
-    return masks
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -281,11 +283,10 @@ def components(edges: DataFrame) -> DataFrame:
         seen = state
 
 
-def _components(prints: DataFrame, radius: int, masks: list[tuple[int, ...]] | None, share: float = 0.0) -> DataFrame:
+def _components(prints: DataFrame, radius: int, masks: list[tuple[int, ...]]) -> DataFrame:
     """``prints`` (doc_id, node, f0, ...) with component_id."""
     words = [c for c in prints.columns if c not in ("doc_id", "node")]
     unique = stage(prints.groupBy("node").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in words]), "unique")
-    masks = masks or random_masks(unique.count(), share, len(words))
     roots = components(links(unique.select("node", *words), radius, masks)).withColumnRenamed("node", "member")
     labelled = unique.join(roots, F.col("node") == F.col("member"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     labelled = stage(labelled, "labelled")
@@ -299,16 +300,120 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     return _components(prints, radius, block_masks(radius)).select("doc_id", F.col("f0").alias("fp"), "component_id")
 
 
-def similar(docs: DataFrame, similarity: float = 0.8, shingle: int = WIDE_SHINGLE, wide: int = WIDE) -> DataFrame:
-    """(doc_id, component_id): texts whose shingle sets have about that Jaccard similarity or more are in one component.
+def shingle_set(text: bytes, shingle: int = WIDE_SHINGLE) -> np.ndarray:
+    """The distinct shingle hashes of one text, sorted."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *_hashes(text, shingle)])).view(np.int64)
 
-    The radius is the expected number of differing bits plus one standard deviation.
-    """
-    share = acos(2 * similarity / (1 + similarity)) / pi
-    radius = round(64 * wide * share + (64 * wide * share * (1 - share)) ** 0.5)
-    words = [f"f{k}" for k in range(wide)]
-    prints = stage(fingerprints(docs, shingle, wide).withColumn("node", F.xxhash64(*words)), "fingerprints")
-    return _components(prints, radius, None, share).select("doc_id", "component_id")
+
+def _common_shingles(texts: DataFrame, shingle: int) -> np.ndarray:
+    """The commonest shingles of about ``LOOKED_AT`` texts, rarest first."""
+    steps = 1 << 24
+    rate = min(steps, LOOKED_AT * steps // max(texts.count(), 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, shingle))], ["shingle"])
+
+    some = texts.where(F.pmod("key", F.lit(steps)) < rate).select("text").distinct()
+    counts = stage(some.mapInArrow(run, "shingle long").groupBy("shingle").count().where(F.col("count") >= OFTEN), "common")
+    least, held = None, 0
+    for r in counts.groupBy("count").agg(F.count("*").alias("n")).orderBy(F.desc("count")).collect():  # one row a count
+        held += r["n"]
+        if held > COMMONEST:
+            break
+        least = r["count"]
+    rows = counts.where(F.col("count") >= least).collect() if least else []
+    return np.array([h for _, h in sorted((r["count"], r["shingle"]) for r in rows)], np.int64)
+
+
+def _firsts(texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """(doc_id, key, node, n, firsts): a hash of each text's shingle set, its size, and the shingles of which a set that similar shares one."""
+    common = _common_shingles(texts, shingle)
+    shared = texts.sparkSession.sparkContext.broadcast((np.sort(common), np.argsort(common)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        values, rank = shared.value
+        for b in batches:
+            nodes, sizes, firsts = [], [], []
+            for text in b.column(2).to_pylist():
+                own = shingle_set(text, shingle)
+                nodes.append(xxhash.xxh64_intdigest(own.tobytes()))
+                sizes.append(len(own))
+                first = len(own) - ceil(similarity * len(own) - 1e-9) + 1 if len(own) else 0
+                if len(values):
+                    at = np.minimum(np.searchsorted(values, own), len(values) - 1)
+                    late = values[at] == own
+                    own = np.concatenate([own[~late], own[late][np.argsort(rank[at[late]])]])
+                firsts.append(own[:first])
+            offsets = np.cumsum([0, *map(len, firsts)])
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *firsts])))
+            columns = [b.column(0), b.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "node", "n", "firsts"])
+
+    return stage(texts.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key long, node long, n long, firsts array<long>"), "firsts")
+
+
+def _similar_links(texts: DataFrame, firsts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """(a, b): nodes linked so that all sets of at least that similarity are connected, and no others."""
+
+    def fit(n: Column, m: Column) -> Column:
+        return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
+
+    unique = firsts.groupBy("node").agg(F.first("n").alias("n"), F.min(F.struct("key", "firsts")).alias("of"))
+    unique = stage(unique.select("node", "n", "of.key", "of.firsts"), "unique")
+    by_size = Window.partitionBy("shingle").orderBy("n")
+    met = unique.select(F.explode("firsts").alias("shingle"), "node", "n")
+    met = met.select("*", F.lag("n").over(by_size).alias("less"), F.lead("n").over(by_size).alias("more"))
+    met = stage(met.where(fit(F.col("n"), F.col("less")) | fit(F.col("n"), F.col("more"))).select("shingle", "node", "n"), "met")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, shingle) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], ["node", "all"])
+
+    needed = unique.join(met.select("node").distinct(), "node", "left_semi").select("node", "key")
+    whole = texts.select("key", "text").join(needed, "key").select("node", "text").dropDuplicates(["node"])
+    sets = stage(whole.mapInArrow(run, "node long, whole array<long>"), "sets")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("whole").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("whole").alias("y")), "b")
+        common = F.size(F.array_intersect("x", "y"))
+        return stage(both.where(common >= similarity * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b"), "verified")
+
+    def ordered(a: Column, b: Column) -> list[Column]:
+        return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+    leaders = met.groupBy("shingle").agg(F.min(F.struct(F.xxhash64("shingle", "node").alias("h"), "node", "n")).alias("lead"))
+    led = met.join(leaders, "shingle").where((F.col("node") != F.col("lead.node")) & fit(F.col("n"), F.col("lead.n")))
+    first = verified(led.select(*ordered(F.col("node"), F.col("lead.node"))).distinct())
+    roots = components(first).withColumnRenamed("node", "member")
+    parts = met.join(roots, F.col("node") == F.col("member"), "left").select("shingle", "node", "n", F.coalesce("root", "node").alias("part"))
+    parts = stage(parts, "parts")
+    ranges = parts.groupBy("shingle", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    left, right = (ranges.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("part", "least", "most")]) for side in "ab")
+    apart = left.join(right, "shingle").where("part_a < part_b")
+    apart = apart.where(f"most_a >= {similarity} * least_b - 1e-9 AND most_b >= {similarity} * least_a - 1e-9").select("shingle", "part_a", "part_b")
+    for side in "ab":
+        apart = apart.join(parts.select("shingle", F.col("part").alias(f"part_{side}"), F.col("node").alias(f"node_{side}"), F.col("n").alias(f"n_{side}")), ["shingle", f"part_{side}"])
+    rest = apart.where(fit(F.col("n_a"), F.col("n_b"))).select(*ordered(F.col("node_a"), F.col("node_b"))).distinct()
+    return first.union(verified(rest.join(first, ["a", "b"], "left_anti")))
+
+
+def _alike(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """(doc_id, key, root): a hash of each row's text, and its component."""
+    texts = docs.select("doc_id", F.xxhash64(utf8("text")).alias("key"), utf8("text").alias("text"))
+    firsts = _firsts(texts, similarity, shingle)
+    roots = components(_similar_links(texts, firsts, similarity, shingle)).withColumnRenamed("node", "member")
+    found = firsts.select("doc_id", "key", "node").join(roots, F.col("node") == F.col("member"), "left")
+    return stage(found.select("doc_id", "key", F.coalesce("root", "node").alias("root")), "alike")
+
+
+def similar(docs: DataFrame, similarity: float = 0.8, shingle: int = WIDE_SHINGLE) -> DataFrame:
+    """(doc_id, component_id): texts whose sets of distinct shingles have that Jaccard similarity or more are in one component."""
+    found = _alike(docs, similarity, shingle)
+    return found.join(found.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -402,6 +402,47 @@ def test_similar_texts_are_found_and_different_ones_kept(spark):
     assert {2 * i for i in range(60)} <= left and len(left) <= 63
 
 
+def similar_by_hand(texts: list[str | None], similarity: float) -> list[int]:
+    """The component of each text: the first place of one of its texts."""
+    sets = []
+    for text in texts:
+        own = words(lowered(text))
+        sets.append({" ".join(own[i : i + 5]) for i in range(max(1, len(own) - 4))} if own else set())
+    label = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        both = len(sets[i] & sets[j])
+        if both >= similarity * (len(sets[i]) + len(sets[j]) - both) - 1e-9 and label[i] != label[j]:
+            a, b = sorted((label[i], label[j]))
+            label = [a if x == b else x for x in label]
+    return label
+
+
+@pytest.mark.parametrize("similarity", [0.75, 0.8, 0.85, 0.9])
+def test_similar_texts_agree_with_brute_force(spark, monkeypatch, similarity):
+    monkeypatch.setattr(near_dedup, "OFTEN", 30)
+    rng = random.Random(14)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(3000)]
+    line = rng.choices(vocabulary, k=12)
+    texts = [None, "", "one two", "ONE  two", "one two three"]
+    for i in range(40):
+        text = rng.choices(vocabulary, k=rng.randrange(60, 200)) + line
+        texts.append(" ".join(text))
+        for _ in range(4):  # similarities from 0.6 to 1
+            near = list(text)
+            near[: rng.randrange(len(text) // 3)] = rng.choices(vocabulary, k=rng.randrange(10))
+            texts.append(" ".join(near))
+    texts += [" ".join(line * 30 + rng.choices(vocabulary, k=40)) for _ in range(10)]  # one much-repeated line is no likeness
+    hub = rng.choices(vocabulary, k=300)
+    for _ in range(60):  # a large group: many of its pairs are below the limit
+        near = list(hub)
+        for at in rng.sample(range(300), rng.randrange(12)):
+            near[at] = rng.choice(vocabulary)
+        texts.append(" ".join(near))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert dict(near_dedup.similar(df, similarity).collect()) == dict(enumerate(similar_by_hand(texts, similarity)))
+    assert {r["doc_id"] for r in near_dedup.drop_near_duplicates(df, similarity).collect()} == set(similar_by_hand(texts, similarity))
+
+
 # language
 
 
