@@ -422,9 +422,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """One row of each component stays: the one with the smallest id (of rows that repeat it, any one).
-
-    Of rows with a null id, which can't be told apart, one stays.
-    """
-    gone = similar(docs, similarity).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(stage(gone, "gone"), "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    """One row of each component stays: the one with the smallest id (of rows that repeat it and its text, any one; null ids come last)."""
+    found = _alike(docs, similarity, WIDE_SHINGLE)
+    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("kept")).select("kept.*")
+    kept = stage(kept.select(F.col("doc_id").alias("__id"), F.col("key").alias("__of")), "kept")
+    keyed = docs.withColumn("__key", F.xxhash64(utf8("text")))
+    stays = keyed.join(kept, F.col("__key").eqNullSafe(F.col("__of")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    return stays.dropDuplicates(["doc_id", "__key"]).drop("__key")

@@ -443,6 +443,14 @@ def test_similar_texts_agree_with_brute_force(spark, monkeypatch, similarity):
     assert {r["doc_id"] for r in near_dedup.drop_near_duplicates(df, similarity).collect()} == set(similar_by_hand(texts, similarity))
 
 
+def test_rows_with_null_or_repeated_ids_stay_unless_they_are_alike(spark):
+    rng = random.Random(15)
+    a, b, c, d, e = (" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(40)) for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (2, a), (7, c), (7, d), (7, d + " more"), (1, d), (9, None), (None, ""), (None, e)]
+    left = near_dedup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert key(tuple(r) for r in left) == key([(None, b), (2, a), (7, c), (1, d), (9, None), (None, e)])
+
+
 # language
 
 
