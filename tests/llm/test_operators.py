@@ -164,6 +164,23 @@ def test_network_scores_what_it_was_taught():
     assert (net.scores(secret_scan._codes(good)) >= net.threshold).mean() > 0.9 and (net.scores(secret_scan._codes(bad)) >= net.threshold).mean() < 0.05
 
 
+def test_every_run_is_a_candidate_and_keeps_what_no_pattern_covers():
+    text = "plainlettersonly WXYZ" + "ab12" * 6 + "-LASTPART and deadbeefdeadbeefdeadbeef"
+    spans = secret_scan.base_spans(text)
+    found = [([text[a:b] for a, b in open_], label) for _, _, label, open_ in secret_scan.candidates(text, spans)]
+    assert found == [(["plainlettersonly"], 0), (["WXYZ", "-LASTPART"], 1), ([], 1)]
+
+
+def test_the_threshold_recalls_the_positives_though_they_score_low():
+    rng = random.Random(6)
+    alike = lambda n: [" " * 16 + "".join(rng.choices("abc1", k=48)) + " " * 16 for _ in range(n)]
+    texts, labels = alike(1000), np.array([1.0] * 100 + [0.0] * 900)
+    net = secret_scan.train(texts, labels)
+    kept = np.random.default_rng(7).permutation(1000)[:250]
+    good = net.scores(secret_scan._codes([texts[i] for i in kept if labels[i]]))
+    assert (good >= net.threshold).mean() >= secret_scan.RECALL
+
+
 # packing
 
 
