@@ -360,7 +360,7 @@ def _similar_links(texts: DataFrame, firsts: DataFrame, similarity: float, shing
     """(a, b): nodes linked so that all sets of at least that similarity are connected, and no others."""
 
     def fit(n: Column, m: Column) -> Column:
-        return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
+        return (n >= similarity * m - 1e-9) & (m >= similarity * n - 1e-9)  # null if one is; least() would skip it
 
     unique = firsts.groupBy("node").agg(F.first("n").alias("n"), F.min(F.struct("key", "firsts")).alias("of"))
     unique = stage(unique.select("node", "n", "of.key", "of.firsts"), "unique")
