@@ -33,72 +33,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytemill.llm.common import read, stage, utf8
+from bytemill.llm.hashing import mix, run_hash, run_sums, word_hashes
 
 WINDOW = 50
 GRAM = 20
 LONG_GRAM = 44
 #: Different regions around one anchor that one automaton takes.
 SHARD = 256
-#: Bytes hashed at once, and words whose windows are looked at at once: they bound a task's memory.
-BYTES_AT_ONCE = 1 << 21
+#: Words whose windows are looked at at once: it bounds a task's memory.
 WORDS_AT_ONCE = 1 << 19
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE = {"byte": 0x9E3779B97F4A7C15, "word": 0xC2B2AE3D27D4EB4F}
-_powers: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers_to(kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first powers of the base modulo 2 ** 64, and of its inverse."""
-    if kind not in _powers or len(_powers[kind][0]) < n:
-        pair = []
-        for base in (_BASE[kind], pow(_BASE[kind], -1, 1 << 64)):
-            steps = np.full(max(n, 1 << 16), base, np.uint64)
-            steps[0] = 1
-            pair.append(np.cumprod(steps))
-        _powers[kind] = tuple(pair)
-    return _powers[kind]
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return (h ^ (h >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25) ^ (h >> np.uint64(32))
-
-
-def _runs(values: np.ndarray, kind: str) -> np.ndarray:
-    """Prefix sums from which the hash of any run of ``values`` follows."""
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * _powers_to(kind, len(values) + 1)[0][: len(values)], out=sums[1:])
-    return sums
-
-
-def _run_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, kind: str) -> np.ndarray:
-    return _mix((sums[end] - sums[start]) * _powers_to(kind, len(sums))[1][start])
-
-
-def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word."""
-    found, at = [], 0
-    while at < len(text):
-        end = at + BYTES_AT_ONCE
-        while end < len(text) and not _SPACE[text[end]]:
-            end += 1
-        codes = np.frombuffer(text[at:end], np.uint8)
-        edges = np.diff(np.concatenate([[True], _SPACE[codes], [True]]).view(np.int8))
-        sums = _runs(codes.astype(np.uint64) + np.uint64(1), "byte")
-        found.append(_run_hash(sums, np.flatnonzero(edges == -1), np.flatnonzero(edges == 1), "byte"))
-        at = end
-    return np.concatenate(found) if found else np.zeros(0, np.uint64)
-
 
 def _regions(words: np.ndarray, doc: np.ndarray, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """(start, windows, anchor, region) of all regions in ``words``; doc tells the documents apart."""
     if len(words) < WINDOW:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64))
-    sums = _runs(words, "word")
+    sums = run_sums(words)
     at = np.arange(len(words) - gram + 1)
-    grams = _run_hash(sums, at, at + gram, "word")
+    grams = run_hash(sums, at, at + gram)
     place = np.uint64((1 << 20) - 1)
     least = (grams & ~place) | at.astype(np.uint64)  # ties: the first one
     span, reach = 1, WINDOW - gram + 1
@@ -115,7 +67,7 @@ def _regions(words: np.ndarray, doc: np.ndarray, gram: int = GRAM) -> tuple[np.n
     first = np.flatnonzero(new)
     n = np.diff(np.append(first, len(start)))
     start, anchor = start[first], anchor[first]
-    region = _mix(_run_hash(sums, start, start + n + WINDOW - 1, "word") + n.astype(np.uint64))
+    region = mix(run_hash(sums, start, start + n + WINDOW - 1) + n.astype(np.uint64))
     return start, n, grams[anchor], region
 
 
@@ -296,9 +248,9 @@ def _by_windows(contents: DataFrame) -> DataFrame:
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for anchor, region, doc_id, first, words in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                sums = _runs(np.frombuffer(words, np.uint32).astype(np.uint64), "word")
+                sums = run_sums(np.frombuffer(words, np.uint32).astype(np.uint64))
                 at = np.arange(len(sums) - WINDOW)
-                h = _run_hash(sums, at, at + WINDOW, "word").view(np.int64)
+                h = run_hash(sums, at, at + WINDOW).view(np.int64)
                 same = [pa.array(np.full(len(at), x, np.int64)) for x in (anchor, region, doc_id)]
                 yield pa.RecordBatch.from_arrays([*same, pa.array((at + first).astype(np.int32)), pa.array(h)], ["anchor", "region", "doc_id", "at", "h"])
 

@@ -285,6 +285,37 @@ def test_vector_search_of_awkward_rows(spark):
     assert vector_search.search(df.limit(0)).count() == 0 and vector_search.search(df.where("vec_id = 50")).count() == 0
 
 
+@pytest.mark.parametrize("spread", [0.05, None])
+def test_vector_search_recalls_in_clusters_and_without(spark, spread):
+    import pandas as pd
+
+    rng = np.random.default_rng(14)
+    n = 32_000
+    x = rng.normal(size=(n, 64)) if spread is None else rng.normal(size=(40, 64))[rng.integers(0, 40, n)] + spread * rng.normal(size=(n, 64))
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": list(x)})).repartition(8)
+    found = vector_search.search(df, every=400).groupBy("query_id").agg(F.collect_list("vec_id").alias("ids")).collect()
+    assert len(found) == n // 400
+    hits = []
+    for r in found:
+        scores = x @ x[r["query_id"]]
+        scores[r["query_id"]] = -np.inf
+        hits.append(len(set(np.argsort(-scores)[:20].tolist()) & set(r["ids"])))
+    assert np.mean(hits) >= 0.95 * 20 and min(hits) >= 0.9 * 20
+
+
+def test_vector_search_does_not_depend_on_the_order_of_rows(spark):
+    rng = np.random.default_rng(15)
+    rows = [(i % 50, rng.normal(size=4).tolist()) for i in range(300)]
+    found = set()
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(1 + seed)
+        found.add(tuple(sorted(map(tuple, vector_search.search(df).collect()))))
+    query = {i: min(v for j, v in rows if j == i) for i in (0, 20, 40)}
+    wanted = {q: sorted(((max(np.dot(v, w) for j, w in rows if j == i), i) for i in range(50) if i != q), key=lambda t: (-t[0], t[1]))[:20] for q, v in query.items()}
+    assert len(found) == 1 and [(q, i) for q, _, i, _ in sorted(found.pop())] == [(q, i) for q in wanted for _, i in wanted[q]]
+
+
 # decontamination
 
 
@@ -528,14 +559,89 @@ def test_scores_of_awkward_rows(spark, awkward, awkward_rows, monkeypatch):
     assert lm_score.score(docs.limit(0)).count() == 0
 
 
+def small_model(rng, leaves=6):
+    tree = lm_score.build_tree(np.arange(10, 10 + leaves - 1, dtype=np.uint64), rng.integers(1, 6, leaves - 1), 2)
+    counts = rng.integers(0, 5, (lm_score.CONTEXTS, 1 << lm_score.BITS, 2))
+    return tree, lm_score.fit_mixer(tree, counts, [b"a b c d"])
+
+
 def test_the_model_is_a_probability():
-    head = [(w.encode(), c) for w, c in [("a", 5), ("b", 3), ("c", 2), ("d", 1), ("", 2)]]
-    tree = lm_score.build_tree(head, 2)
-    rng = np.random.default_rng(10)
-    counts = rng.integers(0, 5, (lm_score.CONTEXTS, 1 << lm_score.BITS, 2)).astype(np.int32)
-    mixer = lm_score.fit_mixer(tree, counts, [np.array([1, 2, 3, 0])])
-    every = [np.array(ids) for ids in itertools.product(range(6), repeat=3)]
-    assert np.exp(mixer.score(every)).sum() == pytest.approx(1, abs=1e-4)
+    _, mixer = small_model(np.random.default_rng(10))
+    every = np.array(list(itertools.product(range(6), repeat=3)))
+    found = mixer.score(every.ravel(), np.full(len(every), 3), np.ones(every.size, bool))
+    assert np.exp(found).sum() == pytest.approx(1, abs=1e-4)
+
+
+def score_by_hand(mixer, ids: list[int], asked: list[bool]) -> float:
+    """The mixer one decision at a time."""
+    tree, total, own = mixer.tree, 0.0, [1.0] * 3
+    word, last = lm_score.COMMON, len(tree.head) + 1
+    for begin in range(0, len(ids), lm_score.SLICE):
+        slope, made = [0.0] * 3, 0
+        for t in range(begin, min(len(ids), begin + lm_score.SLICE)):
+            i = ids[t]
+            if asked[t]:
+                total += tree.below[i]
+                for level in range(lm_score.LEVELS):
+                    if node := int(tree.nodes[i, level]):
+                        x = [float(mixer.odds[i, level])]
+                        for k, c in enumerate((word, last)):
+                            h = ((c + k + 1) * int(lm_score._ODD[k]) ^ node * int(lm_score._ODD[1])) & 0xFFFFFFFF
+                            h = h * int(lm_score._ODD[2]) & 0xFFFFFFFF
+                            h = (h ^ h >> 15) * int(lm_score._ODD[3]) & 0xFFFFFFFF
+                            x.append(float(mixer.table[k, h >> (32 - lm_score.BITS)]) / lm_score.STEPS)
+                        sign = 1 - 2 * int(tree.bits[i, level])
+                        miss = math.exp(sum(a * b for a, b in zip(own, x, strict=True)) * sign)
+                        total -= math.log1p(miss)
+                        slope = [g + miss / (1 + miss) * sign * v for g, v in zip(slope, x, strict=True)]
+                        made += 1
+            if tree.common[i] < lm_score.COMMON:
+                word = int(tree.common[i])
+            last = i
+        own = [o - lm_score.RATE * g / math.sqrt(max(made, 1)) for o, g in zip(own, slope, strict=True)]
+    return total
+
+
+def test_scores_agree_with_a_slow_mixer():
+    rng = np.random.default_rng(11)
+    tree, mixer = small_model(rng, 400)
+    documents = [rng.integers(0, 400, n) for n in (1, 70, 300, 5, 129)]
+    ids = np.concatenate(documents)
+    asked = rng.random(len(ids)) < 0.9
+    found = mixer.score(ids, np.array([len(d) for d in documents]), asked)
+    at = 0
+    for d, f in zip(documents, found, strict=True):
+        assert f == pytest.approx(score_by_hand(mixer, d.tolist(), asked[at : at + len(d)].tolist()), rel=1e-4)
+        at += len(d)
+
+
+def test_counts_past_32_bits_are_read_right():
+    _, mixer = small_model(np.random.default_rng(12))
+    tree = mixer.tree
+    counts = np.full((lm_score.CONTEXTS, 1 << lm_score.BITS, 2), (1 << 33, 1 << 35), np.int64)
+    many = lm_score.fit_mixer(tree, counts, [b"a b"])
+    few = lm_score.fit_mixer(tree, counts >> 20, [b"a b"])
+    assert (many.table == few.table).mean() > 0.99 and many.table.min() > 0
+
+
+def test_what_is_foretold_counts_by_its_record():
+    words = np.array([1, 2, 3, 4, 5, 6, 1, 2], np.uint32)
+    told = np.array([2, 3, 9, 5, 6, 7, 2], np.uint32)
+    hit, gain = lm_score.foretelling(words, np.array([0, 6]), np.array([6, 2]), np.array([0, 0, 1]), np.array([1, 4, 1]), told, np.array([3, 2, 2])[:3])
+    assert hit.tolist() == [False, True, True, False, True, True, False, False]
+    p = [0.7, 1.7 / 2, 1 - 2.7 / 3, 0.7, 1.7 / 2, 1 - 0.7]
+    assert np.allclose(np.exp(gain), [1, p[0], p[1], p[2], p[3], p[4], 1, p[5]])
+
+
+def test_documents_that_occur_twice_score_apart(spark):
+    rng = random.Random(13)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(2000)]
+    rows = [(i, " ".join(rng.choices(vocabulary, k=150))) for i in range(200)]
+    rows += [(1000 + i, t) for i, t in rows[:20]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("learn", F.lit(True))
+    found = {r["doc_id"]: r["bits_per_byte"] for r in lm_score.score(docs).collect()}
+    twice = [v for i, v in found.items() if i >= 1000 or i < 20]
+    assert max(twice) < 0.5 * min(v for i, v in found.items() if 20 <= i < 1000)
 
 
 # substring dedup
