@@ -4,16 +4,22 @@ A vector is cut into subspaces of two components, each coded by one of sixteen
 centroids. Codes and centroids minimise a loss that weighs the residual parallel
 to the vector ``ETA`` times the perpendicular one, since the parallel residual is
 what moves large inner products. The centroids are fitted on at most ``SAMPLE``
-vectors chosen by id hash; every vector is coded. A query's table lookups rank
-the codes of each batch, and the ``RERANK`` best are scored exactly in double
-precision.
+vectors (``SAMPLE_BYTES``) chosen by id hash; every vector is coded.
+
+A query's table lookups estimate all scores of a share of the candidates. The
+best are scored exactly in double precision, and then every other one whose
+estimate may still be too low: by its residual along itself, and by ``DEVIATIONS``
+times what the residual across adds to an inner product at random. So the number
+that is reranked follows the data, without a cap.
 
 Queries are dealt into blocks of about ``QUERIES``, and each block meets every
-candidate once, spread over several tasks that each keep its best ``k``. Equal
-vectors of a batch are ranked once, with their smallest ids. Vectors that are
-null, zero, of another dimension than most or hold a null or non-finite
-component take no part, nor do rows with a null id. Rows that repeat an id count
-once a vector; a query never finds its own id. An empty table gives no rows.
+share of candidates once, in one task, which keeps the best ``k``; the shares'
+results are merged. Equal vectors of a share are ranked once, with their smallest
+ids. Vectors that are null, zero, of another dimension than most or hold a null or
+non-finite component take no part, nor do rows with a null id. Rows that repeat an
+id are candidates with each of their vectors, and the id counts with its best one;
+as a query it has its smallest vector (component by component). A query never
+finds its own id. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,12 +38,13 @@ NEAREST = 20
 EVERY = 20
 SUB = 2
 CENTROIDS = 16
-SAMPLE = 20_000
+SAMPLE, SAMPLE_BYTES = 8192, 1 << 25
 ROUNDS = 6
-RERANK = 150
-#: Queries and candidates that meet in one task, about.
-QUERIES = 1024
-CANDIDATES = 32_768
+DEVIATIONS = 3.0
+#: Queries and candidates that meet in one task, about, and queries with their tables made at once.
+QUERIES = 16_384
+CANDIDATES = 8192
+TABLES = 256
 #: (d - 1) T^2 / (1 - T^2) for d = 64 and T = 0.2, the share of the norm from which scores matter.
 ETA = 2.6
 
@@ -97,53 +104,66 @@ def _code(x: np.ndarray, books: np.ndarray) -> np.ndarray:
     return codes
 
 
-def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Inner products in double precision, summed component by component."""
-    total = np.zeros(len(x))
-    for d in range(x.shape[1]):
-        total += q[d] * x[:, d]
-    return total
-
-
-class Block:
-    """A block of queries with the best found so far."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, books: np.ndarray, k: int):
-        self.ids, first = np.unique(ids, return_index=True)
-        self.vectors, self.k = vectors[first], k
-        tables = np.einsum("qsd,scd->qsc", self.vectors.reshape(len(first), len(books), SUB), books).astype(np.float32)
-        # two four-bit codes to a byte: tables of 256 entries
-        self.tables = (tables[:, 1::2, :, None] + tables[:, 0::2, None, :]).reshape(len(first), -1, CENTROIDS**2)
-        self.best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))] * len(first)
+class Share:
+    """A share of the candidates, whole: equal vectors are one row with their smallest ids."""
 
-    def scan(self, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray) -> None:
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, books: np.ndarray, k: int):
         order = np.argsort(ids, kind="stable")
-        ids, vectors, codes = ids[order], vectors[order], codes[order]
-        keys = np.ascontiguousarray(vectors).view(f"V{vectors.shape[1] * vectors.itemsize}").ravel()
+        ids, vectors, codes = ids[order], np.ascontiguousarray(vectors[order]), codes[order]
+        keys = vectors.view(f"V{vectors.shape[1] * vectors.itemsize}").ravel()
         _, first, group = np.unique(keys, return_index=True, return_inverse=True)
         members = np.argsort(group, kind="stable")  # ids rise inside a group
-        begin = np.searchsorted(group[members], np.arange(len(first) + 1))
-        exact, columns = vectors[first].astype(float), np.ascontiguousarray(codes[first].T)
-        for i, table in enumerate(self.tables):
-            score = table[0][columns[0]]
-            for s in range(1, len(columns)):
-                score += table[s][columns[s]]
-            near = np.argpartition(-score, RERANK)[:RERANK] if len(score) > RERANK else np.arange(len(score))
-            found = _exact(self.vectors[i], exact[near])
-            sizes = np.minimum(begin[near + 1] - begin[near], self.k + 1)
-            places = np.repeat(begin[near], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            vec, value = ids[members[places]], np.repeat(found, sizes)
-            other = vec != self.ids[i]
-            value, vec = np.concatenate([self.best[i][0], value[other]]), np.concatenate([self.best[i][1], vec[other]])
-            top = np.lexsort((vec, -value))
-            once = np.concatenate([[True], (vec[top][1:] != vec[top][:-1]) | (value[top][1:] != value[top][:-1])]) if len(top) else top
-            top = top[once][: self.k] if len(top) else top
-            self.best[i] = (value[top], vec[top])
-
-    def rows(self) -> pa.RecordBatch:
-        sizes = [len(b[0]) for b in self.best]
-        columns = [np.repeat(self.ids, sizes), np.concatenate([b[1] for b in self.best]), np.concatenate([b[0] for b in self.best])]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
+        self.ids, self.k, self.books = ids[members], k, books
+        self.begin = np.searchsorted(group[members], np.arange(len(first)))
+        self.size = np.minimum(np.diff(np.append(self.begin, len(members))), k + 1)  # one more, as a query may be among them
+        x = vectors[first].astype(float)
+        self.columns = np.ascontiguousarray(x.T)
+        self.codes = np.ascontiguousarray(codes[first].T).astype(np.intp)
+        four = np.stack([codes[first] & 15, codes[first] >> 4], axis=2).reshape(len(first), -1)
+        residual = x - books[np.arange(len(books)), four].reshape(x.shape)
+        along = np.abs((residual * (x / np.linalg.norm(x, axis=1, keepdims=True))).sum(axis=1))
+        across = np.sqrt(np.maximum((residual**2).sum(axis=1) - along**2, 0))
+        #: How far a score may lie above its estimate, for a query of norm one.
+        self.reach = (along + DEVIATIONS * across / np.sqrt(max(1, x.shape[1] - 1))).astype(np.float32)
+
+    def nearest(self, query_id: int, query: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(scores, ids) of the best ``k``; table: of 256 entries for two four-bit codes each."""
+        score = table[0].take(self.codes[0])
+        for s in range(1, len(self.codes)):
+            score += table[s].take(self.codes[s])
+        n = 2 * self.k
+        near = np.argpartition(-score, n)[:n] if len(score) > n else np.arange(len(score))
+        value, vec = self._best(query_id, query, near)
+        if len(value) == self.k:  # whatever may reach the last of them is compared exactly, too
+            near = np.flatnonzero(score + np.float32(np.linalg.norm(query)) * self.reach >= value[-1])
+            value, vec = self._best(query_id, query, near)
+        return value, vec
+
+    def _best(self, query_id: int, query: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        exact = np.zeros(len(near))
+        for q, column in zip(query, self.columns, strict=True):  # component by component, in double precision
+            exact += q * column[near]
+        if len(near) > self.k + 1:  # the own id may be among the best
+            last = np.partition(exact, len(exact) - self.k - 1)[len(exact) - self.k - 1]
+            near, exact = near[exact >= last], exact[exact >= last]
+        size = self.size[near]
+        places = np.repeat(self.begin[near], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        vec, value = self.ids[places], np.repeat(exact, size)
+        other = vec != query_id
+        vec, value = vec[other], value[other]
+        top = np.lexsort((vec, -value))
+        _, first = np.unique(vec[top], return_index=True)  # an id with several vectors: its best one
+        top = top[np.sort(first)][: self.k]
+        return value[top], vec[top]
+
+    def all_nearest(self, ids: np.ndarray, queries: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(ids), TABLES):
+            q = queries[at : at + TABLES]
+            tables = np.einsum("qsd,scd->qsc", q.reshape(len(q), len(self.books), SUB), self.books).astype(np.float32)
+            tables = (tables[:, 1::2, :, None] + tables[:, 0::2, None, :]).reshape(len(q), -1, CENTROIDS**2)
+            found = [self.nearest(*x) for x in zip(ids[at : at + TABLES].tolist(), q, tables, strict=True)]
+            columns = [np.repeat(ids[at : at + TABLES], [len(v) for v, _ in found]), np.concatenate([i for _, i in found]), np.concatenate([v for v, _ in found])]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
 
 
 def _vectors(column: pa.Array, dim: int) -> np.ndarray:
@@ -154,8 +174,8 @@ def search(vectors: DataFrame, k: int = NEAREST, every: int = EVERY) -> DataFram
     """(query_id, rank, vec_id, score): the ``k`` nearest of each row whose id is divisible by ``every``."""
     spark = vectors.sparkSession
     result = "query_id long, vec_id long, score double"
-    size = vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL").groupBy(F.size("embedding").alias("dim")).count()
-    common = size.where("dim > 0").orderBy(F.desc("count"), F.desc("dim")).first()
+    sizes = vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL").groupBy(F.size("embedding").alias("dim")).count()
+    common = sizes.where("dim > 0").orderBy(F.desc("count"), F.desc("dim")).first()
     if common is None:
         empty = spark.createDataFrame([], result)
         return empty.select("query_id", F.lit(1).alias("rank"), "vec_id", "score")
@@ -166,9 +186,9 @@ def search(vectors: DataFrame, k: int = NEAREST, every: int = EVERY) -> DataFram
         F.col("vec_id").isNotNull() & (F.size("embedding") == dim) & F.coalesce(finite, F.lit(False)) & F.exists("embedding", lambda x: x != 0)
     )
     counts = valid.agg(F.count("*").alias("all"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("queries")).first()
-    steps = 1 << 20
-    chosen = valid.where(F.pmod(F.xxhash64("vec_id"), F.lit(steps)) < min(steps, SAMPLE * steps // max(1, counts["all"])))
-    sample = np.array([r["embedding"] for r in chosen.select("embedding").limit(2 * SAMPLE).collect()], float).reshape(-1, dim)
+    steps, size = 1 << 20, min(SAMPLE, max(256, SAMPLE_BYTES // (8 * dim)))
+    chosen = valid.where(F.pmod(F.xxhash64("vec_id"), F.lit(steps)) < min(steps, size * steps // max(1, counts["all"])))
+    sample = np.array(sorted(r["embedding"] for r in chosen.select("embedding").limit(2 * size).collect()), float).reshape(-1, dim)
     books = _fit(np.pad(sample, ((0, 0), (0, wide - dim)))) if len(sample) else np.zeros((wide // SUB, CENTROIDS, SUB))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,10 +202,10 @@ def search(vectors: DataFrame, k: int = NEAREST, every: int = EVERY) -> DataFram
     kind = valid.schema["embedding"].dataType.simpleString()
     blocks = max(1, ceil(counts["queries"] / QUERIES))
     shares = max(1, ceil(counts["all"] / CANDIDATES))
-    candidates = valid.mapInArrow(index, f"vec_id long, embedding {kind}, codes binary").select(
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shares)).cast("int").alias("share"), "vec_id", "embedding", "codes"
+    candidates = valid.dropDuplicates(["vec_id", "embedding"]).mapInArrow(index, f"vec_id long, embedding {kind}, codes binary").select(
+        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(shares)).cast("int").alias("share"), "vec_id", "embedding", "codes"
     )
-    queries = valid.where(F.col("vec_id") % every == 0).select(
+    queries = valid.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).select(
         F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)).cast("int").alias("block"),
         F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"),
         "vec_id",
@@ -194,33 +214,34 @@ def search(vectors: DataFrame, k: int = NEAREST, every: int = EVERY) -> DataFram
     )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by block and share, queries (without codes) first."""
+        """Rows come by block and share; one share and its queries are held at a time."""
         now: tuple[int, int] | None = None
-        asked: list[tuple[np.ndarray, np.ndarray]] = []
-        block: Block | None = None
+        held: list[tuple] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            ids, x, codes, asked = (np.concatenate(c) for c in zip(*held, strict=True))
+            if asked.any() and not asked.all():
+                wide_x = np.pad(x, ((0, 0), (0, wide - dim)))
+                yield from Share(ids[~asked], wide_x[~asked], codes[~asked], books, k).all_nearest(ids[asked], wide_x[asked].astype(float))
+
         for b in batches:
             key = np.stack([np.asarray(b.column(0)), np.asarray(b.column(1))])
-            is_query = np.asarray(b.column(4).is_null())
-            cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0) | (is_query[1:] != is_query[:-1])) + 1
+            cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
             for at, to in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
+                if to == at:
+                    continue
                 if now != (here := (int(key[0, at]), int(key[1, at]))):
-                    if block is not None:
-                        yield block.rows()
-                    now, asked, block = here, [], None
+                    if held:
+                        yield from out()
+                    now, held = here, []
                 part = b.slice(at, to - at)
-                ids, x = np.asarray(part.column(2)), _vectors(part.column(3), dim)
-                if is_query[at]:
-                    asked.append((ids, x))
-                elif asked:
-                    if block is None:
-                        q = np.concatenate([a[1] for a in asked]).astype(float)
-                        block = Block(np.concatenate([a[0] for a in asked]), np.pad(q, ((0, 0), (0, wide - dim))), books, k)
-                    codes = np.frombuffer(b"".join(part.column(4).to_pylist()), np.uint8).reshape(len(ids), -1)
-                    block.scan(ids, np.pad(x, ((0, 0), (0, wide - dim))), codes)
-        if block is not None:
-            yield block.rows()
-
-    met = queries.union(candidates).repartition("block", "share").sortWithinPartitions("block", "share", F.col("codes").isNotNull(), "vec_id")
+                asked = np.asarray(part.column(4).is_null())
+                codes = np.frombuffer(b"".join(part.column(4).fill_null(bytes(wide // SUB // 2)).to_pylist()), np.uint8).reshape(to - at, -1)
+                held.append((np.asarray(part.column(2)), _vectors(part.column(3), dim), codes, asked))
+        if held:
+            yield from out()
+
+    met = queries.union(candidates).repartition("block", "share").sortWithinPartitions("block", "share")
     found = met.mapInArrow(scan, result).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
