@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIR: str | None = None
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,32 +18,46 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``).
+    """The folder all executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder.
 
-    Only where the session sets none, as in local tests, a folder of this
-    process is made and used.
+    Only in local mode, where the session sets none, a folder of this process is made and used.
     """
     global _OWN_DIR
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _OWN_DIR is None:
         _OWN_DIR = tempfile.mkdtemp(prefix="bytemill-")
     return _OWN_DIR
 
 
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there.
 
-    The table survives the loss of any executor and goes when the application ends.
+    The table survives the loss of any executor, and goes by ``release`` or when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    target, system = _hadoop(spark, path)
+    system.deleteOnExit(target)
+    found = spark.read.schema(df.schema).parquet(path)
+    _PATHS[found] = path
+    return found
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for table in tables:
+        target, system = _hadoop(table.sparkSession, _PATHS.pop(table))
+        system.delete(target, True)
 
 
 def id_remainder(column: str, divisor: int) -> Column:

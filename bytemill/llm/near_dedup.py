@@ -1,28 +1,31 @@
-"""Near-duplicates: SimHash fingerprints within a radius, and shingle sets by exact Jaccard similarity.
+"""Near-duplicates by SimHash fingerprints, bit-sliced; and by exact Jaccard similarity among those.
 
-``near_duplicates`` links 64-bit fingerprints within a small radius, without a
-miss: the bits are cut into ``radius + 2`` blocks, and two fingerprints that close
-agree in at least two blocks, so the masks are all pairs of blocks. Fingerprints
-are made in Arrow batches and filed in tables, each under a mask of its bits; only
-the members of one file are compared.
-
-Inside a file the members are compared bit-sliced: plane k holds bit k of 64
+Fingerprints are made in Arrow batches and filed under keys; only the members of
+one file are compared. They are compared bit-sliced: plane k holds bit k of 64
 members in one machine word, carry-save counters add up 64 distances at a time,
 and a word whose lanes have all passed the radius is abandoned. Links become
 components by alternating large-star and small-star passes, which are DataFrame
 joins.
 
-Files over ``TILE`` members are cut into tiles that are compared pairwise in
-different tasks, so no file lands whole in one task; equal fingerprints are one
-row from the start.
+``near_duplicates`` links 64-bit fingerprints within a small radius, without a
+miss: the bits are cut into ``radius + 2`` blocks, and two fingerprints that close
+agree in at least two blocks, so a file is named by a pair of blocks.
 
 ``similar`` links texts whose sets of distinct shingles have at least a given
-Jaccard similarity, exactly (but for collisions of 64-bit hashes). Two such sets
-share one of their first shingles in any fixed order, so texts meet by a join on
-those; every pair that meets is verified on the whole sets. The order puts
-shingles last that a sample of the texts shows to be common: that keeps groups
-small and decides nothing else. First each member of a group meets one leader
-only; then those that are not connected yet meet each other.
+Jaccard similarity. Fingerprints of ``64 * WIDE`` bits over the set are filed by
+``BANDS`` groups of ``ROWS`` minimal hashes; links within ``wide_radius`` make
+clusters. Each set is then sent once to its cluster, where pairs within the radius
+are compared on the whole sets; only a pair that has the similarity is a link. Two
+texts at the limit of 0.8 fail to meet with probability 0.0008, and pass the
+radius but for less than 0.003 (tiny sets; others far less); the likelier the
+closer. So no link is wrong, and nearly none is missed (``tests`` hold it against
+brute force).
+
+A file over ``TILE`` members is dealt into tiles, and its ``LEADERS`` are sent to
+all of them; whatever is not connected to the file's largest part after that meets
+every tile, ``TILE`` members at a time. So no task holds more than two tiles, and a
+large group of near copies takes work in proportion to its size. Equal
+fingerprints are one row from the start.
 
 Nulls: a null text has no words, hence fingerprint zero and an empty set. A
 row with a null ``doc_id`` gets a fingerprint, but ids decide the representative,
@@ -34,26 +37,29 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import ceil
+from math import acos, ceil, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bytemill.llm.common import read, stage, utf8
+from bytemill.llm.common import read, release, stage, utf8
 
 SHINGLE = 4
 SEED = 42
 RADIUS = 4
-TILE = 4096
-#: For ``similar``: words of a shingle; texts looked at for common shingles, in how many of them a shingle is common, and how many are put in order at most.
-WIDE_SHINGLE, LOOKED_AT, OFTEN, COMMONEST = 5, 10_000, 5, 1 << 16
+TILE, LEADERS = 4096, 32
+#: For ``similar``: words of a shingle, 64-bit words of a fingerprint, and how files are named.
+WIDE_SHINGLE, WIDE, BANDS, ROWS = 5, 4, 10, 3
 #: Comparison words handled at once, which bounds a task's memory.
 PAIRS_AT_ONCE = 1 << 19
 
 _SPREAD = np.array([sum(((v >> k) & 1) << (8 * k) for k in range(8)) for v in range(256)], dtype=np.uint64)
 _ONE = np.uint64(1)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Odd multipliers of the minimal hashes.
+_MINIMAL = (np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | _ONE
 
 
 def _bit_counts(hashes: np.ndarray) -> np.ndarray:
@@ -82,57 +88,42 @@ def _hashes(text: bytes, shingle: int, seed: int = SEED) -> Iterator[np.ndarray]
         yield np.array([digest(joined[a:b], seed) for a, b in spans], np.uint64)
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE, wide: int = 1, seed: int = SEED) -> list[int]:
-    """SimHash of one text: majority bits over XXH64 of its word shingles, and over remixes of that hash for further words."""
-    counts = np.zeros((wide, 64), np.int64)
-    n = 0
+def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """SimHash of one text: majority bits over XXH64 of its word shingles."""
+    counts, n = np.zeros(64, np.int64), 0
     for hashes in _hashes(text, shingle, seed):
         n += len(hashes)
-        for k in range(wide):
-            counts[k] += _bit_counts(hashes)
-            if k < wide - 1:
-                hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-                hashes ^= hashes >> np.uint64(32)
-    return [int.from_bytes(np.packbits(2 * c > n, bitorder="little").tobytes(), "little") for c in counts]
+        counts += _bit_counts(hashes)
+    return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, wide: int = 1) -> DataFrame:
-    """(doc_id, f0, f1, ...): the fingerprint as signed longs."""
-    names = ["doc_id", *(f"f{k}" for k in range(wide))]
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, f0): the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t, shingle, wide) for t in b.column(1).to_pylist()], np.uint64).reshape(-1, wide)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in fp.T)], names)
+            fp = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "f0"])
 
-    return docs.select("doc_id", utf8("text").alias("text")).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return docs.select("doc_id", utf8("text").alias("text")).mapInArrow(run, "doc_id long, f0 long")
 
 
-def block_masks(radius: int) -> list[tuple[int, ...]]:
+def block_masks(radius: int) -> list[int]:
     """All pairs of ``radius + 2`` blocks of 64 bits."""
     n = radius + 2
     edges = [64 * i // n for i in range(n + 1)]
     blocks = [(1 << edges[i + 1]) - (1 << edges[i]) for i in range(n)]
-    return [(a | b,) for a, b in combinations(blocks, 2)]
+    return [a | b for a, b in combinations(blocks, 2)]
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _filed(prints: DataFrame, masks: list[tuple[int, ...]]) -> DataFrame:
-    """(key, tile, lane, node, f0, ...): each fingerprint under each mask, large files tiled."""
-    words = [c for c in prints.columns if c != "node"]
-    keys = [F.xxhash64(F.lit(t), *[F.col(c).bitwiseAND(F.lit(_signed(m))) for c, m in zip(words, mask, strict=True)]) for t, mask in enumerate(masks)]
-    filed = prints.select("node", *words, F.explode(F.array(*keys)).alias("key"))
-    large = filed.groupBy("key").count().where(F.col("count") > TILE).select("key", F.ceil(F.col("count") / TILE).cast("int").alias("tiles"))
-    own = F.pmod(F.xxhash64("node"), F.coalesce("tiles", F.lit(1))).cast("int")
-    return (
-        filed.join(stage(large, "large"), "key", "left")
-        .withColumn("own", own)
-        .withColumn("tile", F.explode(F.sequence("own", F.coalesce("tiles", F.lit(1)) - 1)))
-        .select("key", "tile", (F.col("tile") == F.col("own")).alias("lane"), "node", *words)
-    )
+def _by_masks(prints: DataFrame, masks: list[int]) -> DataFrame:
+    """(key, node, f0): each fingerprint under each mask."""
+    keys = [F.xxhash64(F.lit(t), F.col("f0").bitwiseAND(F.lit(_signed(m)))) for t, m in enumerate(masks)]
+    return prints.select(F.explode(F.array(*keys)).alias("key"), "node", "f0")
 
 
 def _planes(members: np.ndarray) -> np.ndarray:
@@ -188,13 +179,42 @@ def _settle(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = step
 
 
-def _links(first: np.ndarray, lane: np.ndarray, node: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def _overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values two sorted sets share."""
+    small, large = (a, b) if len(a) < len(b) else (b, a)
+    at = np.searchsorted(large, small)
+    return int((large[np.minimum(at, len(large) - 1)] == small).sum()) if len(large) else 0
+
+
+def _verify(label: np.ndarray, a: np.ndarray, b: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Union a[i] with b[i] where their sets are that similar and they are not connected yet; the links made."""
+    made = []
+    for i, j in zip(a.tolist(), b.tolist(), strict=True):
+        x, y = i, j
+        while label[x] != x:
+            x = label[x]
+        while label[y] != y:
+            y = label[y]
+        if x != y:
+            n, m = len(sets[i]), len(sets[j])
+            if min(n, m) >= similarity * max(n, m) - 1e-9:
+                both = _overlap(sets[i], sets[j])
+                if both >= similarity * (n + m - both) - 1e-9:
+                    label[max(x, y)] = min(x, y)
+                    made.append((i, j))
+    return made
+
+
+def _links(first: np.ndarray, lane: np.ndarray, node: np.ndarray, fp: np.ndarray, radius: int, sets: list[np.ndarray] | None = None, similarity: float = 0) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links of the rows, which are whole groups with lanes first; ``first`` marks where each begins."""
     group = np.cumsum(first) - 1
     keep = np.bincount(group)[group] > 1
+    if sets is not None:
+        sets = [s for s, k in zip(sets, keep.tolist(), strict=True) if k]
     group, lane, node, fp = group[keep], lane[keep], node[keep], fp[keep]
     label = np.arange(len(fp))
     rows = np.flatnonzero(lane)
+    made: list[tuple[int, int]] = []
     if not len(rows):
         return node[:0], node[:0]
     planes = _planes(fp[rows])
@@ -218,202 +238,235 @@ def _links(first: np.ndarray, lane: np.ndarray, node: np.ndarray, fp: np.ndarray
         for k in range(0, len(hit), 1 << 14):
             i, j = np.nonzero(np.unpackbits(lanes[k : k + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
             i = hit[k + i]
-            _settle(label, some[q[i]], rows[64 * word[i] + j])
+            a, b = some[q[i]], rows[64 * word[i] + j]
+            if sets is None:
+                _settle(label, a, b)
+            else:
+                made += _verify(label, a, b, sets, similarity)
         at = to
+    if sets is not None:
+        a, b = (np.array(x, np.int64) for x in zip(*made, strict=True)) if made else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return node[a], node[b]
     moved = np.flatnonzero(label != np.arange(len(fp)))
     return node[moved], node[label[moved]]
 
 
-def links(prints: DataFrame, radius: int, masks: list[tuple[int, ...]]) -> DataFrame:
-    """(a, b): nodes of ``prints`` (node, f0, ...) linked so that every two that meet at ``radius`` or less are connected.
-
-    Each file and tile gives one spanning tree, not all its pairs.
-    """
+def _compared(dealt: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """(a, b): spanning links of each (key, tile, part) of ``dealt`` (key, tile, part, lane, node, f0, ..., maybe whole)."""
+    exact = "whole" in dealt.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
+        held: list[list[np.ndarray]] = []
+        rows = size = 0
 
         def out(parts: list[np.ndarray]) -> pa.RecordBatch:
-            key, tile, lane, node, fp = parts
-            first = np.concatenate([[True], (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])])
-            a, b = _links(first, lane, node, fp, radius)
+            key, tile, part, lane, node, fp, *whole = parts
+            first = np.concatenate([[True], (key[1:] != key[:-1]) | (tile[1:] != tile[:-1]) | (part[1:] != part[:-1])])
+            sets = [np.frombuffer(w, np.int64) for w in whole[0]] if exact else None
+            a, b = _links(first, lane, node, fp, radius, sets, similarity)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
-            key, tile, lane, node, *fp = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            now = [key, tile, lane.astype(bool), node, np.stack(fp, axis=1).view(np.uint64)]
-            held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
-            other = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]))
-            last = int(other[-1]) + 1 if len(other) else 0
-            if last >= 50_000:
-                yield out([x[:last] for x in held])
-                held = [x[last:] for x in held]
-        if held is not None:
-            yield out(held)
-
-    return (
-        _filed(prints, masks)
-        .repartition("key", "tile")
-        .sortWithinPartitions("key", "tile", F.desc("lane"))
-        .mapInArrow(run, "a long, b long")
-        .distinct()
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if not len(columns[0]):
+                continue
+            key, tile, part, lane, node, *rest = columns
+            fp = rest[:-1] if exact else rest
+            held.append([key, tile, part, lane.astype(bool), node, np.stack(fp, axis=1).view(np.uint64), *([rest[-1]] if exact else [])])
+            rows += len(key)
+            size += sum(map(len, rest[-1])) if exact else 0
+            if rows >= 50_000 or size >= 1 << 25:  # all groups but the last are whole
+                now = [np.concatenate(x) for x in zip(*held, strict=True)]
+                other = np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]) | (now[2] != now[2][-1]))
+                last = int(other[-1]) + 1 if len(other) else 0
+                if last:
+                    yield out([x[:last] for x in now])
+                held, rows, size = [[x[last:] for x in now]], 0, 0
+        if held:
+            yield out([np.concatenate(x) for x in zip(*held, strict=True)])
+
+    return dealt.repartition("key", "tile", "part").sortWithinPartitions("key", "tile", "part", F.desc("lane")).mapInArrow(run, "a long, b long")
+
+
+def links(filed: DataFrame, radius: int, similarity: float = 0) -> DataFrame:
+    """(a, b): nodes linked so that every two that share a key and are within ``radius`` are connected.
+
+    ``filed`` has key, node, f0, ..., and maybe whole, the sorted set as bytes: then
+    ``similarity`` is asked of the sets, too. Every task gives spanning trees, not
+    all pairs.
+    """
+    content = [c for c in filed.columns if c != "key"]
+    sizes = filed.groupBy("key").agg(F.count("*").alias("n"))
+    sizes = stage(sizes.where("n > 1").select("key", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")), "sizes")
+    tiled = filed.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
+    small = tiled.where("tiles = 1").select("key", F.lit(0).alias("tile"), F.lit(0).alias("part"), F.lit(True).alias("lane"), *content)
+    first = _compared(small, radius, similarity)
+    if sizes.where("tiles > 1").isEmpty():
+        return stage(first.distinct(), "links")
+    large = stage(tiled.where("tiles > 1"), "large")
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node", "key")))
+    leaders = stage(large.select("key", "node", rank.alias("rank")).where(F.col("rank") <= LEADERS).select("key", "node"), "leaders")
+    everywhere = large.join(leaders, ["key", "node"]).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = large.select("key", F.col("own").alias("tile"), F.lit(0).alias("part"), F.lit(True).alias("lane"), *content)
+    led = everywhere.where("tile <> own").select("key", "tile", F.lit(0).alias("part"), F.lit(False).alias("lane"), *content)
+    first = stage(first.union(_compared(dealt.union(led), radius, similarity)).distinct(), "links")
+
+    roots = stage(components(first).withColumnRenamed("node", "member"), "roots")
+    placed = large.select("key", "node").join(roots, F.col("node") == F.col("member"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    placed = stage(placed, "placed")
+    main = placed.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("m")).select("key", F.col("m.root").alias("main"))
+    apart = stage(placed.join(stage(main, "main"), "key").where("root <> main").select("key", "node"), "apart")
+    chunks = stage(apart.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts")), "chunks")
+    lanes = large.join(chunks, "key").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    asked = large.join(apart, ["key", "node"]).join(chunks, "key").withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), "parts").cast("int"))
+    asked = asked.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rest = lanes.select("key", F.col("own").alias("tile"), "part", F.lit(True).alias("lane"), *content).union(
+        asked.select("key", "tile", "part", F.lit(False).alias("lane"), *content)
     )
+    return stage(first.union(_compared(rest, radius, similarity)).distinct(), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): connected components of (a, b) by alternating star contractions; root is the smallest node."""
     now = stage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
 
-    def star(both: DataFrame, large: bool) -> DataFrame:
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        moved = both.join(least, "a")
+    def star(both: DataFrame, large: bool) -> tuple[DataFrame, DataFrame]:
+        least = stage(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")
+        moved = both.join(least, "a")  # of two plain shuffles: a hot star is split
         if large:
             pairs = moved.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
             pairs = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        return pairs.where("a <> b").distinct()
+        return pairs.where("a <> b").distinct(), least
 
     seen = None
     while True:
-        wide = star(now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b"))), True)
-        now = stage(star(wide.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), False), "edges")
+        before = now
+        wide, least = star(now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b"))), True)
+        narrow, last = star(wide.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), False)
+        now = stage(narrow, "edges")
+        release(before, least, last)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_000_007)).first()
         if state == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = state
 
 
-def _components(prints: DataFrame, radius: int, masks: list[tuple[int, ...]]) -> DataFrame:
-    """``prints`` (doc_id, node, f0, ...) with component_id."""
-    words = [c for c in prints.columns if c not in ("doc_id", "node")]
-    unique = stage(prints.groupBy("node").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in words]), "unique")
-    roots = components(links(unique.select("node", *words), radius, masks)).withColumnRenamed("node", "member")
-    labelled = unique.join(roots, F.col("node") == F.col("member"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    labelled = stage(labelled, "labelled")
-    named = labelled.join(labelled.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("node", "component_id")
-    return prints.join(stage(named, "named"), "node", "left")
+def _named(labelled: DataFrame) -> DataFrame:
+    """(node, component_id) of (node, first, root): the smallest id of each component."""
+    least = stage(labelled.groupBy("root").agg(F.min("first").alias("component_id")), "least")
+    return stage(labelled.join(least, "root").select("node", "component_id"), "named")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id): every two fingerprints at ``radius`` or less are in one component."""
     prints = stage(fingerprints(docs, shingle).withColumn("node", F.col("f0")), "fingerprints")
-    return _components(prints, radius, block_masks(radius)).select("doc_id", F.col("f0").alias("fp"), "component_id")
+    unique = stage(prints.groupBy("node").agg(F.min("doc_id").alias("first")), "unique")
+    filed = _by_masks(unique.select("node", F.col("node").alias("f0")), block_masks(radius))
+    roots = stage(components(links(filed, radius)).withColumnRenamed("node", "member"), "roots")
+    labelled = unique.join(roots, F.col("node") == F.col("member"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    named = _named(stage(labelled, "labelled"))
+    return prints.join(named, "node", "left").select("doc_id", F.col("f0").alias("fp"), "component_id")
 
 
 def shingle_set(text: bytes, shingle: int = WIDE_SHINGLE) -> np.ndarray:
     """The distinct shingle hashes of one text, sorted."""
-    return np.unique(np.concatenate([np.zeros(0, np.uint64), *_hashes(text, shingle)])).view(np.int64)
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *_hashes(text, shingle)]).view(np.int64))
 
 
-def _common_shingles(texts: DataFrame, shingle: int) -> np.ndarray:
-    """The commonest shingles of about ``LOOKED_AT`` texts, rarest first."""
-    steps = 1 << 24
-    rate = min(steps, LOOKED_AT * steps // max(texts.count(), 1))
+def wide_radius(similarity: float) -> int:
+    """Bits of a wide fingerprint that two sets of that similarity may differ in: five standard deviations over what is expected."""
+    share = acos(min(1.0, 2 * similarity / (1 + similarity))) / pi
+    bits = 64 * WIDE
+    return min(bits - 1, ceil(bits * share + 5 * sqrt(bits * share * (1 - share))))
+
+
+def wide_fingerprint(hashes: np.ndarray) -> list[int]:
+    """Majority bits over a set of hashes and over remixes of them, as signed words."""
+    out = []
+    for _ in range(WIDE):
+        out.append(np.packbits(2 * _bit_counts(hashes) > len(hashes), bitorder="little").view(np.int64)[0])
+        hashes = (hashes ^ (hashes >> np.uint64(31))) * _MIX
+        hashes ^= hashes >> np.uint64(32)
+    return out
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """``BANDS`` keys: two sets share a key if ``ROWS`` minimal hashes agree."""
+    least = np.full(len(_MINIMAL), ~np.uint64(0))
+    for at in range(0, len(hashes), 1 << 12):
+        least = np.minimum(least, (hashes[at : at + (1 << 12)] * _MINIMAL[:, None]).min(axis=1))
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64) * _MIX
+    for row in least.reshape(BANDS, ROWS).T:
+        keys = (keys ^ row) * _MIX
+        keys ^= keys >> np.uint64(32)
+    return keys.view(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, shingle))], ["shingle"])
-
-    some = texts.where(F.pmod("key", F.lit(steps)) < rate).select("text").distinct()
-    counts = stage(some.mapInArrow(run, "shingle long").groupBy("shingle").count().where(F.col("count") >= OFTEN), "common")
-    least, held = None, 0
-    for r in counts.groupBy("count").agg(F.count("*").alias("n")).orderBy(F.desc("count")).collect():  # one row a count
-        held += r["n"]
-        if held > COMMONEST:
-            break
-        least = r["count"]
-    rows = counts.where(F.col("count") >= least).collect() if least else []
-    return np.array([h for _, h in sorted((r["count"], r["shingle"]) for r in rows)], np.int64)
-
-
-def _firsts(texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """(doc_id, key, node, n, firsts): a hash of each text's shingle set, its size, and the shingles of which a set that similar shares one."""
-    common = _common_shingles(texts, shingle)
-    shared = texts.sparkSession.sparkContext.broadcast((np.sort(common), np.argsort(common)))
+
+def _prints(texts: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, key, node, f0, ..., bands): a hash of each text's shingle set, its wide fingerprint and its files."""
+    words = [f"f{k}" for k in range(WIDE)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        values, rank = shared.value
         for b in batches:
-            nodes, sizes, firsts = [], [], []
+            nodes, prints, bands = [], [], []
             for text in b.column(2).to_pylist():
                 own = shingle_set(text, shingle)
                 nodes.append(xxhash.xxh64_intdigest(own.tobytes()))
-                sizes.append(len(own))
-                first = len(own) - ceil(similarity * len(own) - 1e-9) + 1 if len(own) else 0
-                if len(values):
-                    at = np.minimum(np.searchsorted(values, own), len(values) - 1)
-                    late = values[at] == own
-                    own = np.concatenate([own[~late], own[late][np.argsort(rank[at[late]])]])
-                firsts.append(own[:first])
-            offsets = np.cumsum([0, *map(len, firsts)])
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *firsts])))
-            columns = [b.column(0), b.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), lists]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "node", "n", "firsts"])
-
-    return stage(texts.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key long, node long, n long, firsts array<long>"), "firsts")
-
-
-def _similar_links(texts: DataFrame, firsts: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """(a, b): nodes linked so that all sets of at least that similarity are connected, and no others."""
+                prints.append(wide_fingerprint(own.view(np.uint64)))
+                bands.append(band_keys(own.view(np.uint64)))
+            offsets = pa.array(np.arange(0, BANDS * len(nodes) + 1, BANDS, dtype=np.int32))
+            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int64), *bands])))
+            columns = [b.column(0), b.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64))]
+            columns += [pa.array(c) for c in np.array(prints, np.int64).reshape(-1, WIDE).T]
+            yield pa.RecordBatch.from_arrays([*columns, lists], ["doc_id", "key", "node", *words, "bands"])
 
-    def fit(n: Column, m: Column) -> Column:
-        return (n >= similarity * m - 1e-9) & (m >= similarity * n - 1e-9)  # null if one is; least() would skip it
+    schema = ", ".join(["doc_id long, key long, node long", *(f"{w} long" for w in words), "bands array<long>"])
+    return stage(texts.select("doc_id", "key", "text").mapInArrow(run, schema), "prints")
 
-    unique = firsts.groupBy("node").agg(F.first("n").alias("n"), F.min(F.struct("key", "firsts")).alias("of"))
-    unique = stage(unique.select("node", "n", "of.key", "of.firsts"), "unique")
-    by_size = Window.partitionBy("shingle").orderBy("n")
-    met = unique.select(F.explode("firsts").alias("shingle"), "node", "n")
-    met = met.select("*", F.lag("n").over(by_size).alias("less"), F.lead("n").over(by_size).alias("more"))
-    met = stage(met.where(fit(F.col("n"), F.col("less")) | fit(F.col("n"), F.col("more"))).select("shingle", "node", "n"), "met")
+
+def _similar_links(texts: DataFrame, prints: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """(a, b): nodes linked so that all sets of at least that similarity are connected, and no others."""
+    words = [f"f{k}" for k in range(WIDE)]
+    radius = wide_radius(similarity)
+    unique = prints.groupBy("node").agg(F.min("key").alias("key"), *[F.min(w).alias(w) for w in words], F.min("bands").alias("bands"))
+    unique = stage(unique, "unique")
+    filed = unique.select(F.explode("bands").alias("key"), "node", *words)
+    clusters = stage(components(links(filed, radius)).withColumnRenamed("root", "cluster"), "clusters")
+    # components() names all nodes but the roots
+    members = clusters.union(clusters.select(F.col("cluster").alias("node"), "cluster").distinct())
+    members = stage(unique.join(stage(members, "members"), "node").select("node", "key", "cluster", *words), "members")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, shingle) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], ["node", "all"])
-
-    needed = unique.join(met.select("node").distinct(), "node", "left_semi").select("node", "key")
-    whole = texts.select("key", "text").join(needed, "key").select("node", "text").dropDuplicates(["node"])
-    sets = stage(whole.mapInArrow(run, "node long, whole array<long>"), "sets")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("whole").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("whole").alias("y")), "b")
-        common = F.size(F.array_intersect("x", "y"))
-        return stage(both.where(common >= similarity * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b"), "verified")
-
-    def ordered(a: Column, b: Column) -> list[Column]:
-        return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-    leaders = met.groupBy("shingle").agg(F.min(F.struct(F.xxhash64("shingle", "node").alias("h"), "node", "n")).alias("lead"))
-    led = met.join(leaders, "shingle").where((F.col("node") != F.col("lead.node")) & fit(F.col("n"), F.col("lead.n")))
-    first = verified(led.select(*ordered(F.col("node"), F.col("lead.node"))).distinct())
-    roots = components(first).withColumnRenamed("node", "member")
-    parts = met.join(roots, F.col("node") == F.col("member"), "left").select("shingle", "node", "n", F.coalesce("root", "node").alias("part"))
-    parts = stage(parts, "parts")
-    ranges = parts.groupBy("shingle", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    left, right = (ranges.select("shingle", *[F.col(c).alias(f"{c}_{side}") for c in ("part", "least", "most")]) for side in "ab")
-    apart = left.join(right, "shingle").where("part_a < part_b")
-    apart = apart.where(f"most_a >= {similarity} * least_b - 1e-9 AND most_b >= {similarity} * least_a - 1e-9").select("shingle", "part_a", "part_b")
-    for side in "ab":
-        apart = apart.join(parts.select("shingle", F.col("part").alias(f"part_{side}"), F.col("node").alias(f"node_{side}"), F.col("n").alias(f"n_{side}")), ["shingle", f"part_{side}"])
-    rest = apart.where(fit(F.col("n_a"), F.col("n_b"))).select(*ordered(F.col("node_a"), F.col("node_b"))).distinct()
-    return first.union(verified(rest.join(first, ["a", "b"], "left_anti")))
+            sets = [shingle_set(t, shingle).tobytes() for t in b.column(b.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sets, pa.binary())], ["node", "cluster", *words, "whole"])
+
+    schema = ", ".join(["node long, cluster long", *(f"{w} long" for w in words), "whole binary"])
+    copies = texts.select(F.col("key").alias("of"), "text").join(members, F.col("of") == F.col("key"))
+    one = copies.groupBy("node", "cluster", *words).agg(F.min("text").alias("text"))  # copies of a text are one row
+    sets = stage(one.mapInArrow(run, schema), "sets")
+    found = links(sets.select(F.col("cluster").alias("key"), "node", *words, "whole"), radius, similarity)
+    release(unique, members, sets)
+    return found
 
 
 def _alike(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """(doc_id, key, root): a hash of each row's text, and its component."""
     texts = docs.select("doc_id", F.xxhash64(utf8("text")).alias("key"), utf8("text").alias("text"))
-    firsts = _firsts(texts, similarity, shingle)
-    roots = components(_similar_links(texts, firsts, similarity, shingle)).withColumnRenamed("node", "member")
-    found = firsts.select("doc_id", "key", "node").join(roots, F.col("node") == F.col("member"), "left")
+    prints = _prints(texts, shingle)
+    roots = stage(components(_similar_links(texts, prints, similarity, shingle)).withColumnRenamed("node", "member"), "roots")
+    found = prints.select("doc_id", "key", "node").join(roots, F.col("node") == F.col("member"), "left")
     return stage(found.select("doc_id", "key", F.coalesce("root", "node").alias("root")), "alike")
 
 
 def similar(docs: DataFrame, similarity: float = 0.8, shingle: int = WIDE_SHINGLE) -> DataFrame:
     """(doc_id, component_id): texts whose sets of distinct shingles have that Jaccard similarity or more are in one component."""
     found = _alike(docs, similarity, shingle)
-    return found.join(found.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
+    least = stage(found.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
+    return found.join(least, "root").select("doc_id", "component_id")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

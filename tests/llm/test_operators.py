@@ -292,7 +292,7 @@ def test_vector_search_recalls_in_clusters_and_without(spark, spread):
     rng = np.random.default_rng(14)
     n = 32_000
     x = rng.normal(size=(n, 64)) if spread is None else rng.normal(size=(40, 64))[rng.integers(0, 40, n)] + spread * rng.normal(size=(n, 64))
-    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": list(x)})).repartition(8)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": x.tolist()})).repartition(8)
     found = vector_search.search(df, every=400).groupBy("query_id").agg(F.collect_list("vec_id").alias("ids")).collect()
     assert len(found) == n // 400
     hits = []
@@ -414,6 +414,7 @@ def test_near_duplicates_of_awkward_rows(spark, awkward, awkward_rows):
 
 def test_links_are_whole_in_large_files(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "TILE", 64)
+    monkeypatch.setattr(near_dedup, "LEADERS", 2)
     rng = random.Random(8)
     prints = [rng.getrandbits(64) for _ in range(100)]
     hot = rng.getrandbits(64)
@@ -421,7 +422,7 @@ def test_links_are_whole_in_large_files(spark, monkeypatch):
     prints += [p ^ sum(1 << b for b in rng.sample(range(64), 4)) for p in prints[:50]]
     prints = sorted(set(prints))
     df = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) * 2 for p in prints], "node long, f0 long")
-    edges = near_dedup.links(df, 4, near_dedup.block_masks(4)).collect()
+    edges = near_dedup.links(near_dedup._by_masks(df, near_dedup.block_masks(4)), 4).collect()
     label = {p: p for p in prints}
 
     def top(x):
@@ -467,7 +468,8 @@ def similar_by_hand(texts: list[str | None], similarity: float) -> list[int]:
 
 @pytest.mark.parametrize("similarity", [0.75, 0.8, 0.85, 0.9])
 def test_similar_texts_agree_with_brute_force(spark, monkeypatch, similarity):
-    monkeypatch.setattr(near_dedup, "OFTEN", 30)
+    monkeypatch.setattr(near_dedup, "TILE", 16)
+    monkeypatch.setattr(near_dedup, "LEADERS", 2)
     rng = random.Random(14)
     vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(3000)]
     line = rng.choices(vocabulary, k=12)
