@@ -1,23 +1,29 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame operations only.
 
 A text's words (lower case, split at ASCII white space) are hashed once. A mask
-picks words of a span of eight and ignores the others, so a seed survives a
+picks some words of a span and ignores the others, so a seed survives a
 substituted word at an ignored place. Seeds of documents meet those of the
 benchmark in one hash join, each hit names an alignment, and an alignment counts
-if ``WINDOW`` aligned words in a row hold at least ``SHARE`` equal ones. The two
-masks together find every such window: no two substitutions among thirteen words
-can spoil all their seeds (found by trying all of them).
-
-The benchmark's seeds are broadcast while they number ``BROADCAST_ROWS`` at most,
-and joined by shuffle beyond; so are the candidate documents. Null texts have no
-words. An item shorter than the window has to match as a whole, and one shorter
-than a mask's span is too short to be a leak. Rows with a null ``doc_id`` or a
-repeated one are judged by their own text. Extra columns are left out.
+if ``WINDOW`` aligned words in a row hold at least ``SHARE`` equal ones. Two masks of
+eight words find every such window: no two substitutions among thirteen words can
+spoil all their seeds (found by trying all of them).
+
+An item shorter than the window has to match as a whole, in the same share of its
+words. It is cut into one part more than words may differ, and each part is a
+mask, so one of them survives. Documents get seeds for such lengths only if the
+benchmark has an item of them. Items without words match nothing.
+
+The benchmark's seeds are broadcast while they hold ``BROADCAST_BYTES`` at most,
+and joined by shuffle beyond; so are the candidate documents and the items' words.
+Null texts have no words. Rows with a null ``doc_id`` or a repeated one are judged
+by their own text. Extra columns are left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,10 +31,9 @@ from pyspark.sql import functions as F
 from bytemill.llm.common import read, stage
 
 MASKS = ((0, 2, 5, 6, 7), (0, 3, 4, 5, 7))
-SPAN = 8
 WINDOW = 13
 SHARE = 0.8
-BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 1 << 26
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -41,26 +46,39 @@ def _bind(value: Column, of: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), of)[0]
 
 
-def _seeds(hashed: Column) -> Column:
-    """Both masks' seeds of an array of word hashes: first all of mask 0 by position, then all of mask 1."""
+def masks(n: int, window: int = WINDOW, share: float = SHARE) -> list[tuple[int, tuple[int, ...]]]:
+    """(offset, places after it) of the words that each mask keeps, for ``n`` aligned words."""
+    if (n, window, share) == (WINDOW, WINDOW, SHARE):
+        return [(0, m) for m in MASKS]
+    parts = n - ceil(n * share - 1e-9) + 1
+    edges = [n * k // parts for k in range(parts + 1)]
+    return [(a, tuple(range(b - a))) for a, b in zip(edges, edges[1:], strict=False)]
 
-    def under(k: int, mask: tuple[int, ...]) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(hashed) - SPAN), lambda i: F.xxhash64(F.lit(k), *[F.get(hashed, i + o) for o in mask]))
 
-    made = F.concat(*[under(k, mask) for k, mask in enumerate(MASKS)])
-    return F.when(F.size(hashed) >= SPAN, made).otherwise(F.array().cast("array<long>"))
+def _seeds(hashed: Column, lengths: list[int], window: int, share: float) -> Column:
+    """(seed, at) of every place of an array of word hashes under the masks of ``lengths``; at: where the aligned words begin."""
 
+    def under(n: int, k: int, offset: int, places: tuple[int, ...]) -> Column:
+        last = F.size(hashed) - places[-1] - 1
 
-def _positions(table: DataFrame, *keys: str) -> DataFrame:
+        def one(i: Column) -> Column:
+            return F.struct(F.xxhash64(F.lit(n), F.lit(k), *[F.get(hashed, i + o) for o in places]).alias("seed"), (i - offset).alias("at"))
+
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), one)).otherwise(F.array().cast("array<struct<seed:bigint,at:int>>"))
+
+    return F.concat(*[under(n, k, *m) for n in lengths for k, m in enumerate(masks(n, window, share))])
+
+
+def _positions(table: DataFrame, lengths: list[int], window: int, share: float, *keys: str) -> DataFrame:
     """(keys, seed, at): a row a seed and position."""
-    seeds = _bind(F.transform(_words("text"), lambda w: F.xxhash64(w)), _seeds)
-    placed = _bind(seeds, lambda s: F.transform(s, lambda x, i: F.struct(x.alias("seed"), (i % (F.size(s) / len(MASKS)).cast("int")).alias("at"))))
+    placed = _bind(F.transform(_words("text"), lambda w: F.xxhash64(w)), lambda h: _seeds(h, lengths, window, share))
     return table.select(*keys, F.explode(placed).alias("s")).select(*keys, "s.seed", "s.at")
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """A hint to broadcast ``df``, a staged table, if it is small enough."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _bounded(df: DataFrame, width: Column) -> DataFrame:
+    """A hint to broadcast ``df``, a staged table, if its rows of ``width`` bytes are few enough."""
+    held = df.agg(F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()["bytes"]
+    return F.broadcast(df) if held <= BROADCAST_BYTES else df
 
 
 def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
@@ -68,22 +86,27 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: float
 
     ``matched`` is the largest number of equal words among ``aligned`` aligned ones.
     """
-    items = items.select("item_id", "text").where(F.col("item_id").isNotNull()).distinct()
-    wanted = stage(_positions(items, "item_id").select("seed", "item_id", F.col("at").alias("item_at")).distinct(), "seeds")
+    words = stage(items.where(F.col("item_id").isNotNull()).select("item_id", "text", _words("text").alias("iw")).where(F.size("iw") > 0).distinct(), "items")
+    aligned = F.least(F.size("iw"), F.lit(window))
+    lengths = sorted(r["n"] for r in words.select(aligned.alias("n")).distinct().collect())  # at most ``window`` rows
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    if not lengths:
+        nothing = keyed.select("doc_id", "text_hash").limit(0)
+        return nothing.select("doc_id", "text_hash", F.lit(0).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(0).alias("matched"), F.lit(0).alias("aligned"))
+    seeds = [_positions(words.where(aligned == n), [n], window, share, "item_id").where("at = 0" if n < window else "at >= 0") for n in lengths]
+    wanted = stage(reduce(DataFrame.union, seeds).select("seed", "item_id", F.col("at").alias("item_at")).distinct(), "seeds")
     hits = (
-        _positions(keyed, "doc_id", "text_hash")
-        .join(_bounded(wanted), "seed")
+        _positions(keyed, lengths, window, share, "doc_id", "text_hash")
+        .join(_bounded(wanted, F.lit(32)), "seed")
         .select("doc_id", "text_hash", "item_id", (F.col("at") - F.col("item_at")).alias("shift"))
         .distinct()
     )
     hits = stage(hits, "hits")
     texts = keyed.alias("d").join(
-        _bounded(hits).alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.text_hash") == F.col("h.text_hash"))
+        _bounded(hits, F.lit(40)).alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.text_hash") == F.col("h.text_hash"))
     )
-    sides = (
-        texts.select("d.doc_id", "d.text_hash", "h.item_id", "h.shift", _words("d.text").alias("dw"))
-        .join(F.broadcast(items.select("item_id", _words("text").alias("iw"))) if items.count() <= BROADCAST_ROWS else items.select("item_id", _words("text").alias("iw")), "item_id")
+    sides = texts.select("d.doc_id", "d.text_hash", "h.item_id", "h.shift", _words("d.text").alias("dw")).join(
+        _bounded(words.select("item_id", "iw"), F.lit(16) + F.aggregate("iw", F.lit(0), lambda a, w: a + F.octet_length(w) + 24)), "item_id"
     )
 
     def equal(d: Column, w: Column) -> Column:  # word j of the item stands against word shift + j of the document
@@ -112,29 +135,22 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no passage of ``items``."""
-    found = stage(leaks(docs, items).select("doc_id", "text_hash").distinct(), "leaks").alias("l")
-    keyed = docs.withColumn("__hash", F.xxhash64("text")).alias("d")
-    clean = keyed.join(_bounded(found), F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("d.__hash") == F.col("l.text_hash")), "left_anti")
-    return clean.select(*[F.col(f"d.{c}") for c in docs.columns])
+    found = stage(leaks(docs, items).select("doc_id", "text_hash").distinct(), "leaks")
+    leaked = F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.xxhash64("d.text") == F.col("l.text_hash"))
+    return docs.alias("d").join(_bounded(found, F.lit(24)).alias("l"), leaked, "left_anti")
 
 
+#: All alignments with an equal word are counted; no seeds.
 OP5_SQL = """
 WITH iw AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM benchmark),
 dw AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
-ip AS (SELECT item_id, w, unnest(range(1, len(w) - 6)) AS i FROM iw),
-dp AS (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM dw),
-iseed AS (
-  SELECT item_id, i, concat_ws(' ', 'a', w[i], w[i+2], w[i+5], w[i+6], w[i+7]) AS s FROM ip
-  UNION ALL SELECT item_id, i, concat_ws(' ', 'b', w[i], w[i+3], w[i+4], w[i+5], w[i+7]) FROM ip),
-dseed AS (
-  SELECT doc_id, i, concat_ws(' ', 'a', w[i], w[i+2], w[i+5], w[i+6], w[i+7]) AS s FROM dp
-  UNION ALL SELECT doc_id, i, concat_ws(' ', 'b', w[i], w[i+3], w[i+4], w[i+5], w[i+7]) FROM dp),
-hit AS (SELECT DISTINCT doc_id, item_id, dseed.i - iseed.i AS shift FROM dseed JOIN iseed USING (s)),
-pair AS (
-  SELECT hit.doc_id, hit.item_id, least(len(iw.w), 13) AS aligned, len(iw.w) AS n,
-    list_transform(range(1, len(iw.w) + 1), lambda j: CASE WHEN j + shift >= 1 AND dw.w[j + shift] = iw.w[j] THEN 1 ELSE 0 END) AS eq
-  FROM hit JOIN iw USING (item_id) JOIN dw USING (doc_id)),
-best AS (SELECT doc_id, item_id, aligned, list_max(list_transform(range(1, n - aligned + 2), lambda s: list_sum(eq[s:s + aligned - 1]))) AS matched FROM pair)
-SELECT doc_id, item_id, CAST(max(matched) AS BIGINT) AS matched, CAST(max(aligned) AS BIGINT) AS aligned
-FROM best WHERE matched >= ceil(aligned * 0.8) GROUP BY doc_id, item_id
+ip AS (SELECT item_id, len(w) AS n, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM iw),
+dp AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM dw),
+pair AS (SELECT doc_id, item_id, n, i - j AS shift, j FROM dp JOIN ip USING (word)),
+runs AS (
+  SELECT doc_id, item_id, n,
+    count(*) OVER (PARTITION BY doc_id, item_id, shift ORDER BY j RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS equal
+  FROM pair)
+SELECT doc_id, item_id, CAST(max(equal) AS BIGINT) AS matched, CAST(least(max(n), 13) AS BIGINT) AS aligned
+FROM runs GROUP BY doc_id, item_id HAVING max(equal) >= ceil(least(max(n), 13) * 0.8)
 """
