@@ -19,15 +19,18 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from bytemill.llm.common import read, utf8
+from bytemill.llm.hashing import parts
 
 SEQUENCE = 4096
 END_ID = 2
@@ -36,8 +39,9 @@ WORD_CUT = 64
 STEP = 64
 PER_SEQUENCE = 16
 BLOCK = 64 * SEQUENCE
-#: Distinct words a Python worker remembers before it starts afresh: it keeps them between tasks.
-REMEMBERED = 100_000
+BYTES_AT_ONCE = 1 << 19
+#: What a Python worker remembers of words, with about what an entry takes besides, before it starts afresh: it keeps them between tasks. Longer words are not kept.
+REMEMBERED_BYTES, ENTRY_BYTES, LONGEST_WORD = 24 << 20, 200, 64
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -71,6 +75,7 @@ class Encoder:
         self.split = self.tokenizer.model.tokenize
         self.letters = _byte_letters()
         self.known: dict[bytes, bytes] = {}
+        self.held, self.once = 0, []
         self.stems: dict[str, bytes] = {}
         self.marks = {m: self._whole([m])[0] for m in ".,;:!?"}
         vocabulary = self.tokenizer.get_vocab()
@@ -91,23 +96,29 @@ class Encoder:
                 ids = self.stems.get(stem)
                 if ids is None:
                     text = stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.letters)
-                    ids = self.stems[stem] = b"".join([t.id.to_bytes(4, "little") for t in self.split(text)])
+                    ids = self.stems[stem] = array("I", [t.id for t in self.split(text)]).tobytes()
+                    self.held += len(stem) + len(ids) + ENTRY_BYTES
                 self.known[raw] = ids + mark if mark else ids
             else:
                 others.append(raw)
         self.known.update(zip(others, self._whole([w.decode() for w in others]), strict=True))
+        self.once += [w for w in words if len(w) > LONGEST_WORD]
+        self.held += sum(map(len, words)) + len(words) * ENTRY_BYTES
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        if len(self.known) > REMEMBERED:
+        for word in self.once:
+            self.known.pop(word, None)
+            self.stems.pop(word.decode().lower(), None)
+            self.stems.pop(word.decode()[:-1].lower(), None)
+        self.once = []
+        if self.held > REMEMBERED_BYTES:
             self.known.clear()
             self.stems.clear()
-        out = []
-        for text in texts:
-            words = text.split()
-            if new := set(words).difference(self.known):
-                self._learn(list(new))
-            out.append(np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4"))
-        return out
+            self.held = 0
+        words = [text.split() for text in texts]
+        if new := set().union(*words).difference(self.known):
+            self._learn(list(new))
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, w)), "<u4") for w in words]
 
 
 @lru_cache(maxsize=1)
@@ -233,8 +244,9 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
 
         end = np.array([END_ID], "<u4")
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
+            sizes = pc.fill_null(pc.binary_length(b.column(1)), 0).to_pylist()
+            for at, to in parts(sizes, BYTES_AT_ONCE):
+                part = b.slice(at, to - at)
                 for doc_id, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
                     for rows in packer.add(doc_id, np.concatenate([ids, end])):
                         if rows:
