@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,3 +69,11 @@ def id_remainder(column: str, divisor: int) -> Column:
 def utf8(column: str) -> Column:
     """The text's UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
+
+
+def unused(columns: Iterable[str], name: str) -> str:
+    """``name``, with as many underscores before as it takes to be none of ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name = f"_{name}"
+    return name

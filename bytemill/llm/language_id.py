@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytemill.llm.common import id_remainder, read
+from bytemill.llm.common import id_remainder, read, unused
 
 BITS = 16
 ORDERS = 3
@@ -206,7 +206,7 @@ def predict(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
                     lang[i] = model.langs[k]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").alias(unused(keep, "text"))).mapInArrow(run, schema)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,5 +219,5 @@ def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows whose language is recognised with a score of ``least`` or more; all columns stay."""
     found = predict(docs, train(docs), *docs.columns)
     # the last two columns are the prediction's, whatever the names of the others
-    named = found.toDF(*docs.columns, "__lang_pred", "__score")
-    return named.where((F.col("__lang_pred") != UNKNOWN) & (F.col("__score") >= least)).select(*docs.columns)
+    lang, score = unused(docs.columns, "lang_pred"), unused(docs.columns, "score")
+    return found.toDF(*docs.columns, lang, score).where((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).select(*docs.columns)

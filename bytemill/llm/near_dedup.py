@@ -44,16 +44,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bytemill.llm.common import read, release, stage, utf8
+from bytemill.llm.common import read, release, stage, unused, utf8
 
 SHINGLE = 4
 SEED = 42
 RADIUS = 4
-TILE, LEADERS = 4096, 32
+TILE, LEADERS = 1024, 32
 #: For ``similar``: words of a shingle, 64-bit words of a fingerprint, and how files are named.
 WIDE_SHINGLE, WIDE, BANDS, ROWS = 5, 4, 10, 3
 #: Comparison words handled at once, which bounds a task's memory.
-PAIRS_AT_ONCE = 1 << 19
+PAIRS_AT_ONCE = 1 << 17
 
 _SPREAD = np.array([sum(((v >> k) & 1) << (8 * k) for k in range(8)) for v in range(256)], dtype=np.uint64)
 _ONE = np.uint64(1)
@@ -189,7 +189,10 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
 def _verify(label: np.ndarray, a: np.ndarray, b: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """Union a[i] with b[i] where their sets are that similar and they are not connected yet; the links made."""
     made = []
-    for i, j in zip(a.tolist(), b.tolist(), strict=True):
+    while (label != (step := label[label])).any():
+        label[:] = step
+    apart = label[a] != label[b]
+    for i, j in zip(a[apart].tolist(), b[apart].tolist(), strict=True):
         x, y = i, j
         while label[x] != x:
             x = label[x]
@@ -235,8 +238,8 @@ def _links(first: np.ndarray, lane: np.ndarray, node: np.ndarray, fp: np.ndarray
         right = np.clip(64 * word + 64 - end[q], 0, 63).astype(np.uint64)
         valid = (~np.uint64(0) << left) & (~np.uint64(0) >> right)
         hit, lanes = _near(planes, word, fp[some[q]], valid, radius)
-        for k in range(0, len(hit), 1 << 14):
-            i, j = np.nonzero(np.unpackbits(lanes[k : k + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+        for k in range(0, len(hit), 1 << 10):
+            i, j = np.nonzero(np.unpackbits(lanes[k : k + (1 << 10)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
             i = hit[k + i]
             a, b = some[q[i]], rows[64 * word[i] + j]
             if sets is None:
@@ -478,7 +481,8 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """One row of each component stays: the one with the smallest id (of rows that repeat it and its text, any one; null ids come last)."""
     found = _alike(docs, similarity, WIDE_SHINGLE)
     kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("kept")).select("kept.*")
-    kept = stage(kept.select(F.col("doc_id").alias("__id"), F.col("key").alias("__of")), "kept")
-    keyed = docs.withColumn("__key", F.xxhash64(utf8("text")))
-    stays = keyed.join(kept, F.col("__key").eqNullSafe(F.col("__of")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return stays.dropDuplicates(["doc_id", "__key"]).drop("__key")
+    kept = stage(kept.select("doc_id", "key"), "kept").alias("k")
+    own = unused(docs.columns, "key")
+    keyed = docs.withColumn(own, F.xxhash64(utf8("text"))).alias("d")
+    stays = keyed.join(kept, (F.col(f"d.{own}") == F.col("k.key")) & F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
+    return stays.dropDuplicates(["doc_id", own]).drop(own)

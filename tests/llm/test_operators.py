@@ -176,11 +176,42 @@ def test_the_threshold_recalls_the_positives_though_they_score_low():
     alike = lambda n: [" " * 16 + "".join(rng.choices("abc1", k=48)) + " " * 16 for _ in range(n)]
     texts, labels = alike(1000), np.array([1.0] * 100 + [0.0] * 900)
     net = secret_scan.train(texts, labels)
-    kept = np.random.default_rng(7).permutation(1000)[:250]
+    kept = [i for i, t in enumerate(texts) if zlib.crc32(t[16:-16].encode()) % 4 == 0]
     good = net.scores(secret_scan._codes([texts[i] for i in kept if labels[i]]))
     assert (good >= net.threshold).mean() >= secret_scan.RECALL
 
 
+def test_planted_secrets_are_found_and_clean_texts_are_left(spark):
+    rng = np.random.default_rng(16)
+    clean = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{LARGER}/documents.parquet").collect()]
+    secrets = [v for v in secret_scan.planted(rng, 300) if not secret_scan.base_spans(v)]
+    places = {}
+    rows = list(clean)
+    for i, v in enumerate(secrets):
+        own = clean[i % len(clean)][1].split()
+        at = len(own) // 2
+        before = " ".join(own[:at]) + " "
+        rows.append((10**6 + i, f"{before}{v} {' '.join(own[at:])}"))
+        places[10**6 + i] = (len(before), len(before) + len(v))
+    found = secret_scan.find_secrets(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), "doc_id").collect()
+    hit, wrong = 0, 0
+    for r in found:
+        model = [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "model"]
+        if r["doc_id"] in places:
+            a, b = places[r["doc_id"]]
+            hit += any(x < b and y > a for x, y in model)
+        else:
+            wrong += bool(model)
+    assert hit >= 0.9 * len(secrets) and wrong <= 0.005 * len(clean)
+
+
+def test_there_is_a_network_for_tables_without_findings(spark, texts):
+    clean = [(i, t) for i, t in texts.items() if not secret_scan.base_spans(t)]
+    rows = [*clean, (-1, "see Qz7RkT2mXw9LpB4vNc8YdF1h for it"), (-2, "a considerableundertaking is 9807915762804490")]
+    found = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secret_scan.find_secrets(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id").collect()}
+    assert found[-1] == ["model"] and found[-2] == [] and sum(map(bool, found.values())) <= 3
+
+
 # packing
 
 
@@ -323,22 +354,45 @@ def test_decontamination_agrees_with_sql(spark):
     assert_same(decontaminate.op5(spark, SMALL), decontaminate.OP5_SQL)
 
 
-def test_masks_survive_any_two_substitutions_in_a_window():
-    for pair in itertools.combinations(range(decontaminate.WINDOW), 2):
-        assert any(not {i + o for o in mask} & set(pair) for mask in decontaminate.MASKS for i in range(decontaminate.WINDOW - decontaminate.SPAN + 1))
+@pytest.mark.parametrize("n", range(1, 14))
+def test_masks_survive_all_substitutions_that_are_allowed(n):
+    allowed = n - math.ceil(0.8 * n - 1e-9)
+    for gone in itertools.combinations(range(n), allowed):
+        kept = [{at + offset + p for p in places} for offset, places in decontaminate.masks(n) for at in (range(n - 7) if n == 13 else [0])]
+        assert any(not k & set(gone) and max(k) < n for k in kept)
+
+
+def test_short_items_are_found_whole_or_in_part(spark):
+    items = [(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in range(1, 14)]
+    docs, wanted = [], set()
+    for n, text in items:
+        own = text.split()
+        for lost in range(4):
+            for start in {0, n // 2, n - lost}:
+                if 0 <= start <= n - lost:
+                    near = [("x" if start <= k < start + lost else w) for k, w in enumerate(own)]
+                    doc_id = len(docs)
+                    docs.append((doc_id, "a b " + " ".join(near) + " c"))
+                    if n - lost >= math.ceil(0.8 * n - 1e-9) and n > lost:
+                        wanted.add((doc_id, n, n - lost))
+    docs.append((len(docs), " ".join(items[9][1].split()[1:])))  # the document begins inside the item
+    wanted.add((len(docs) - 1, 10, 9))
+    found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"], r["matched"]) for r in found.collect()} == wanted
 
 
 def test_decontamination_of_awkward_rows(spark, awkward):
     item = " ".join(f"w{i}" for i in range(20))
-    items = spark.createDataFrame([(1, item), (1, item), (2, None), (None, item), (3, "too short"), (4, "")], "item_id long, text string")
+    items = spark.createDataFrame([(1, item), (1, item), (2, None), (None, item), (3, "one two"), (4, "")], "item_id long, text string")
     near = " ".join("other" if i in (4, 9, 14) else f"W{i}" for i in range(20))
     far = " ".join("other" if i % 4 == 0 else f"w{i}" for i in range(20))
     leaky = spark.createDataFrame([(100, "before " + near + " after"), (101, far), (None, item), (100, "clean")], "doc_id long, text string")
     docs = awkward.select("doc_id", "text", *CLASHING).unionByName(leaky, allowMissingColumns=True)
     found = {(r["doc_id"], r["item_id"], r["matched"]) for r in decontaminate.leaks(docs, items).collect()}
-    assert found == {(100, 1, 11), (None, 1, 13)}
+    assert found == {(100, 1, 11), (None, 1, 13), (8, 3, 2)}
+    docs = docs.withColumn("__hash", F.lit("own"))
     left = decontaminate.drop_contaminated(docs, items)
-    assert left.columns == docs.columns and left.count() == docs.count() - 2 and left.where("text = 'clean'").count() == 1
+    assert left.columns == docs.columns and left.count() == docs.count() - 3 and left.where("text = 'clean'").count() == 1
     assert decontaminate.leaks(docs, items.limit(0)).count() == 0 and decontaminate.leaks(docs.limit(0), items).count() == 0
 
 
