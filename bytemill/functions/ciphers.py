@@ -17,7 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bytemill.functions.buffers import xor16
+from bytemill.functions.buffers import gather, xor16
 from bytemill.functions.digests import hmac
 from bytemill.functions.errors import require
 
@@ -89,25 +89,32 @@ def cbc_decrypt(key: bytes, iv: bytes, data: Column) -> Column:
     return F.aes_decrypt(F.concat(F.lit(_iv(iv)), data, _padding(key, F.substring(data, -BLOCK, BLOCK))), _key(key), F.lit("CBC"), F.lit("PKCS"))
 
 
-def _counters(first: bytes, blocks: Column) -> Column:
-    """``blocks`` counter blocks from ``first`` on, as a 128-bit big-endian number."""
-    words = [int.from_bytes(first[i : i + 4], "big") for i in (0, 4, 8, 12)]
+def _counters(first: bytes):
+    """A function of (bytes, block): the counter blocks for so many bytes, from ``block`` after ``first`` on, as 128-bit big-endian numbers."""
+    start = int.from_bytes(first, "big")
 
-    def block(i: Column) -> Column:
-        out, carry = [], i.cast("long")
-        for w in reversed(words):
-            total = F.lit(w).cast("long") + carry
-            out.append(F.lpad(F.hex(total.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))
-            carry = F.shiftright(total, 32)
-        return F.concat(*reversed(out))
+    @F.pandas_udf(T.BinaryType())
+    def run(size: pd.Series, block: pd.Series) -> pd.Series:
+        def one(n: float, b: float) -> bytes | None:
+            if pd.isna(n) or pd.isna(b):
+                return None
+            begin = (start + int(b)) % (1 << 128)
+            low = np.uint64(begin % (1 << 64)) + np.arange(max(1, -(-int(n) // BLOCK)), dtype=np.uint64)
+            high = np.full(len(low), begin >> 64, np.uint64) + (low < np.uint64(begin % (1 << 64)))
+            return np.stack([high, low], axis=1).astype(">u8").tobytes()
 
-    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(blocks, F.lit(1)) - 1), block), ""))
+        return pd.Series([one(n, b) for n, b in zip(size, block, strict=True)], dtype=object)
 
+    return run
 
-def ctr(key: bytes, iv: bytes, data: Column) -> Column:
-    """Encrypts and decrypts; the counter is the whole IV, with carry over all its bits."""
-    stream = F.aes_encrypt(_counters(_iv(iv), _blocks(data)), _key(key), F.lit("ECB"), F.lit("PKCS"))
-    return xor_bytes(data, stream)
+
+def ctr(key: bytes, iv: bytes, data: Column, block: Column | None = None) -> Column:
+    """Encrypts and decrypts; the counter is the whole IV, with carry over all its bits.
+
+    A chunk of a longer message is transformed alone if ``block`` says how many whole blocks precede it.
+    """
+    counters = _counters(_iv(iv))(F.octet_length(data).cast("long"), F.lit(0).cast("long") if block is None else block.cast("long"))
+    return xor_bytes(data, F.aes_encrypt(counters, _key(key), F.lit("ECB"), F.lit("PKCS")))
 
 
 def ofb(key: bytes, iv: bytes, data: Column) -> Column:
@@ -122,18 +129,19 @@ def cfb_decrypt(key: bytes, iv: bytes, data: Column) -> Column:
 
 
 def cfb_encrypt(key: bytes, iv: bytes, data: Column) -> Column:
-    """Each block needs the one before: an ordered fold over the blocks."""
+    """Each block needs the one before: an ordered fold over the blocks, which are joined once."""
     k, start = _key(key), F.lit(_iv(iv))
     padded = F.concat(data, F.lit(ZERO))
+    empty = F.struct(start.alias("last"), F.array().cast("array<binary>").alias("blocks"))
 
-    def step(out: Column, i: Column) -> Column:
-        last = F.when(i > 1, F.substring(out, -BLOCK, BLOCK)).otherwise(start)
-        stream = F.substring(F.aes_encrypt(last, k, F.lit("ECB"), F.lit("PKCS")), 1, BLOCK)
-        return F.concat(out, xor16(stream, F.substring(padded, (i - 1) * BLOCK + 1, F.lit(BLOCK))))
+    def step(state: Column, i: Column) -> Column:
+        stream = F.substring(F.aes_encrypt(state["last"], k, F.lit("ECB"), F.lit("PKCS")), 1, BLOCK)
+        made = F.transform(F.array(xor16(stream, F.substring(padded, (i - 1) * BLOCK + 1, F.lit(BLOCK)))), lambda x: x)
+        return F.transform(made, lambda x: F.struct(x.alias("last"), F.concat(state["blocks"], F.array(x)).alias("blocks")))[0]
 
     n = _blocks(data)
-    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(b""), step)
-    return F.when(data.isNotNull(), F.substring(folded, F.lit(1), F.octet_length(data)))
+    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), empty, step)
+    return F.when(data.isNotNull(), F.substring(gather(folded["blocks"]), F.lit(1), F.octet_length(data)))
 
 
 def _double(block: bytes) -> bytes:
@@ -240,3 +248,18 @@ def try_cbc_hmac_decrypt(key: bytes, mac_key: bytes, iv: bytes, data: Column, di
     body = F.substring(data, F.lit(1), F.octet_length(data) - size)
     fits = hmac(digest, mac_key, F.concat(F.lit(aad), F.lit(iv), body)) == F.substring(data, -size, size)
     return F.when(fits, cbc_decrypt(key, iv, F.when(fits, body)))
+
+
+def hmac_cbc_encrypt(key: bytes, mac_key: bytes, iv: bytes, data: Column, digest: str = "sha256", aad: bytes = b"") -> Column:
+    """Authenticate, then encrypt: the HMAC over the associated data, IV and plain text is encrypted with it; together they are whole blocks."""
+    require(digest in ("sha1", "sha256", "sha512"), f"no AEAD with {digest}")
+    return cbc_encrypt(key, iv, F.concat(data, hmac(digest, mac_key, F.concat(F.lit(aad), F.lit(iv), data))))
+
+
+def try_hmac_cbc_decrypt(key: bytes, mac_key: bytes, iv: bytes, data: Column, digest: str = "sha256", aad: bytes = b"") -> Column:
+    """Null where the tag doesn't fit."""
+    require(digest in ("sha1", "sha256", "sha512"), f"no AEAD with {digest}")
+    size = {"sha1": 20, "sha256": 32, "sha512": 64}[digest]
+    both = cbc_decrypt(key, iv, data)
+    plain = F.substring(both, F.lit(1), F.octet_length(both) - size)
+    return F.when(hmac(digest, mac_key, F.concat(F.lit(aad), F.lit(iv), plain)) == F.substring(both, -size, size), plain)

@@ -1,7 +1,8 @@
-"""Transforms of values that arrive as ordered chunks: one result for each stream.
+"""Transforms of values that arrive as ordered chunks.
 
-A stream's chunks are put in order inside one row, so one stream has to fit in a
-task; streams are spread by their key.
+A stream's chunks are sorted into one partition and read batch by batch by a
+running digest or compressor, so memory is one batch, however long a stream is.
+Null chunks count as empty; chunks with a null place in the order come first.
 """
 
 from __future__ import annotations
@@ -12,45 +13,111 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytemill.functions.buffers import gather
-from bytemill.functions.digests import digest
+from bytemill.functions.digests import ALGORITHMS
 from bytemill.functions.errors import require
 
 
-def ordered(df: DataFrame, stream: str, seq: str, chunk: str) -> DataFrame:
-    """(stream, chunks): each stream's chunks in order of ``seq``; null chunks count as empty."""
-    pairs = F.sort_array(F.collect_list(F.struct(F.col(seq).alias("seq"), F.coalesce(F.col(chunk).cast("binary"), F.lit(b"")).alias("chunk"))))
-    return df.groupBy(stream).agg(pairs.alias("pairs")).select(stream, F.col("pairs.chunk").alias("chunks"))
+def _in_order(df: DataFrame, stream: str, seq: str, chunk: str) -> DataFrame:
+    data = F.coalesce(F.col(chunk).cast("binary"), F.lit(b""))
+    return df.select(F.col(stream), F.col(seq).alias("seq"), data.alias("chunk")).repartition(stream).sortWithinPartitions(stream, "seq", "chunk").select(stream, "chunk")
+
+
+def _by_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array, bool]]:
+    """(stream as an array of one, its next chunks, whether the stream begins)."""
+    last: pa.Array | None = None
+    for b in batches:
+        at = 0
+        key = b.column(0)
+        while at < b.num_rows:
+            to, now = at + 1, key.slice(at, 1)
+            while to < b.num_rows and key.slice(to, 1).equals(now):
+                to += 1
+            yield now, b.column(1).slice(at, to - at), last is None or not last.equals(now)
+            at, last = to, now
 
 
 def digest_stream(df: DataFrame, name: str, stream: str, seq: str, chunk: str) -> DataFrame:
     """(stream, n_chunks, digest): the digest of a stream's chunks taken as one message."""
-    joined = ordered(df, stream, seq, chunk)
-    return joined.select(stream, F.size("chunks").cast("long").alias("n_chunks"), digest(name, gather(F.col("chunks"))).alias("digest"))
+    import hashlib
+
+    require(name in ALGORITHMS, f"unknown digest {name}")
+    kind = df.schema[stream].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([now[0], pa.array([now[1]], pa.int64()), pa.array([now[2].digest()], pa.binary())], [stream, "n_chunks", "digest"])
+
+        for key, chunks, begins in _by_stream(batches):
+            if begins:
+                if now:
+                    yield out()
+                now = [key, 0, hashlib.new(name)]
+            for c in chunks.to_pylist():
+                now[2].update(c)
+            now[1] += len(chunks)
+        if now:
+            yield out()
+
+    return _in_order(df, stream, seq, chunk).mapInArrow(run, f"`{stream}` {kind}, n_chunks long, digest binary")
 
 
 def compress_stream(df: DataFrame, stream: str, seq: str, chunk: str, window_bits: int = 15, level: int = 6, sync: bool = True) -> DataFrame:
-    """(stream, n_chunks, packed): one compressed member, with a sync flush after each chunk if ``sync``."""
+    """(stream, piece, packed): the pieces, numbered from 0, of one compressed member a stream, with a sync flush after each chunk if ``sync``."""
     import zlib
 
     from bytemill.functions.compression import clamp_level, format_of
 
     format_of(window_bits)
     level = clamp_level(level)
-    joined = ordered(df, stream, seq, chunk)
-    kind = joined.schema[stream].dataType.simpleString()
+    kind = df.schema[stream].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out, sizes = [], []
-            for chunks in b.column(1).to_pylist():
-                packer = zlib.compressobj(level, zlib.DEFLATED, window_bits)
-                parts = [packer.compress(c) + (packer.flush(zlib.Z_SYNC_FLUSH) if sync else b"") for c in chunks]
-                out.append(b"".join(parts) + packer.flush())
-                sizes.append(len(chunks))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(out, pa.binary())], [stream, "n_chunks", "packed"])
-
-    return joined.mapInArrow(run, f"`{stream}` {kind}, n_chunks long, packed binary")
+        now = None
+
+        def out(packed: bytes) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([now[0], pa.array([now[1]], pa.int64()), pa.array([packed], pa.binary())], [stream, "piece", "packed"])
+
+        for key, chunks, begins in _by_stream(batches):
+            if begins:
+                if now:
+                    yield out(now[2].flush())
+                now = [key, 0, zlib.compressobj(level, zlib.DEFLATED, window_bits)]
+            for c in chunks.to_pylist():
+                packed = now[2].compress(c) + (now[2].flush(zlib.Z_SYNC_FLUSH) if sync else b"")
+                if packed:
+                    yield out(packed)
+                    now[1] += 1
+        if now:
+            yield out(now[2].flush())
+
+    return _in_order(df, stream, seq, chunk).mapInArrow(run, f"`{stream}` {kind}, piece long, packed binary")
+
+
+def decompress_stream(pieces: DataFrame, stream: str, window_bits: int = 15) -> DataFrame:
+    """(stream, piece, data): what the pieces of ``compress_stream`` hold, piece by piece; a stream cut short fails."""
+    import zlib
+
+    kind = pieces.schema[stream].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None
+
+        def whole() -> None:
+            if now and not now[2].eof:
+                raise ValueError(f"stream {now[0][0].as_py()} ends before its member does")
+
+        for key, chunks, begins in _by_stream(batches):
+            if begins:
+                whole()
+                now = [key, 0, zlib.decompressobj(window_bits)]
+            for c in chunks.to_pylist():
+                yield pa.RecordBatch.from_arrays([key, pa.array([now[1]], pa.int64()), pa.array([now[2].decompress(c)], pa.binary())], [stream, "piece", "data"])
+                now[1] += 1
+        whole()
+
+    return _in_order(pieces, stream, "piece", "packed").mapInArrow(run, f"`{stream}` {kind}, piece long, data binary")
 
 
 def lz77(df: DataFrame, key: str, data: str, least: int = 4, window: int = 1 << 15) -> DataFrame:

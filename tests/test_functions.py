@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 import zlib
 
 import pytest
@@ -125,6 +126,56 @@ def test_chunks_in_order_are_one_message(spark):
     assert chunks.digest_stream(df.limit(0), "sha256", "s", "seq", "chunk").count() == 0
 
 
+def test_streams_are_compressed_piece_by_piece(spark):
+    rng = random.Random(5)
+    parts = [(k, i, rng.randbytes(rng.randrange(2000)) + b"again " * 300) for k in range(5) for i in range(20)]
+    df = spark.createDataFrame([*parts, (9, 0, None), (None, 1, b"y"), (None, 0, b"x")], "s long, seq int, chunk binary").repartition(7)
+    whole = {k: b"".join(c for j, _, c in parts if j == k) for k in range(5)} | {9: b"", None: b"xy"}
+    for bits, sync in ((15, True), (31, False), (-15, True)):
+        packed = chunks.compress_stream(df, "s", "seq", "chunk", bits, sync=sync)
+        member = {k: b"".join(bytes(r["packed"]) for r in rows) for k, rows in _grouped(packed, "s", "piece").items()}
+        assert {k: zlib.decompress(m, bits) for k, m in member.items()} == whole
+        back = chunks.decompress_stream(packed, "s", bits)
+        assert {k: b"".join(bytes(r["data"]) for r in rows) for k, rows in _grouped(back, "s", "piece").items()} == whole
+    with pytest.raises(Exception, match="ends before"):
+        chunks.decompress_stream(chunks.compress_stream(df, "s", "seq", "chunk").where("piece = 0"), "s").collect()
+
+
+def _grouped(df, key, order):
+    found = {}
+    for r in sorted(df.collect(), key=lambda r: r[order]):
+        found.setdefault(r[key], []).append(r)
+    return found
+
+
+def test_counters_go_on_over_chunks_and_carry(spark):
+    data = random.Random(6).randbytes(1000)
+    cut = spark.createDataFrame([(i, data[i : i + 160]) for i in range(0, 1000, 160)], "at long, data binary")
+    for iv in (IV, b"\xff" * 15 + b"\xfe", b"\x00" * 8 + b"\xff" * 8):
+        whole = bytes(spark.createDataFrame([(data,)], "data binary").select(ciphers.ctr(KEY, iv, F.col("data"))).first()[0])
+        found = by_id(cut.select("at", ciphers.ctr(KEY, iv, F.col("data"), F.col("at") / 16)))
+        assert b"".join(found[i] for i in sorted(found)) == whole
+        stream = [int.from_bytes(iv, "big") + k for k in range(63)]
+        plain = b"".join((x % (1 << 128)).to_bytes(16, "big") for x in stream)
+        pad = bytes(spark.createDataFrame([(plain,)], "d binary").select(ciphers.ecb_encrypt(KEY, F.lit(plain))).first()[0])
+        assert whole == bytes(a ^ b for a, b in zip(data, pad, strict=False))
+
+
+def test_cfb_and_both_orders_of_authentication_round_trip(spark, blobs):
+    c, even = F.col("data"), blobs.where("octet_length(data) % 16 = 0 AND octet_length(data) > 0 AND octet_length(data) < 5000")
+    short = blobs.where("octet_length(data) < 5000 OR data IS NULL")
+    assert by_id(short.select("id", ciphers.cfb_decrypt(KEY, IV, ciphers.cfb_encrypt(KEY, IV, c)))) == by_id(short)
+    for seal, open_ in ((ciphers.cbc_hmac_encrypt, ciphers.try_cbc_hmac_decrypt), (ciphers.hmac_cbc_encrypt, ciphers.try_hmac_cbc_decrypt)):
+        assert by_id(even.select("id", open_(KEY, KEY, IV, seal(KEY, KEY, IV, c, aad=b"a"), aad=b"a"))) == by_id(even)
+        assert set(by_id(even.select("id", open_(KEY, KEY, IV, seal(KEY, KEY, IV, c, aad=b"a"), aad=b"b"))).values()) == {None}
+
+
+@pytest.mark.parametrize("name", ["sha224", "sha384", "sha512", "sm3", "sha512_224", "sha512_256"])
+def test_digests_without_sql_agree_with_the_library(spark, blobs, name):
+    found = by_id(blobs.select("id", digests.digest(name, F.col("data"))))
+    assert found == {i: None if b is None else hashlib.new(name, b).digest() for i, b in by_id(blobs).items()}
+
+
 def test_lz77_restores_and_finds_repeats(spark, blobs):
     extra = spark.createDataFrame([(100, b"abcd" * 1000)], "id long, data binary")
     both = blobs.where("data IS NOT NULL AND octet_length(data) < 5000").union(extra)
@@ -161,3 +212,17 @@ def test_files_as_chunks_through_a_stream(spark, tmp_path):
     query.stop()
     found = spark.table("digests").collect()
     assert [(r["n_chunks"], bytes(r["digest"])) for r in found] == [(4, hashlib.sha256(content).digest())]
+
+
+def test_a_stream_with_nulls_and_one_that_stays_open(spark, tmp_path):
+    rows = [("a", 0, b"x", False), ("a", 1, None, True), ("a", None, b"z", False), (None, 0, b"n", True), ("b", 1, b"y", True), ("c", 0, b"c", None), ("c", 1, b"d", True)]
+    schema = "stream string, seq int, chunk binary, last boolean"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "chunks"))
+    read = spark.readStream.schema(schema).parquet(str(tmp_path / "chunks"))
+    query = digest_chunks(read, patience_ms=1).writeStream.format("memory").queryName("open").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).start()
+    deadline = time.monotonic() + 90
+    while spark.table("open").count() < 3 and time.monotonic() < deadline:  # batches go on while there is something to wait for
+        time.sleep(0.5)
+    query.stop()
+    found = {r["stream"]: (r["n_chunks"], r["digest"] and bytes(r["digest"])) for r in spark.table("open").collect()}
+    assert found == {"a": (2, hashlib.sha256(b"x").digest()), "c": (2, hashlib.sha256(b"cd").digest()), "b": (1, None)}
