@@ -10,7 +10,8 @@ model of their sums its score; that model is fitted on sample documents which th
 field has not seen, weighted to the labels' true shares.
 
 At most about ``SAMPLE`` labelled documents a label are learnt from, chosen by id
-hash and used whole; texts are scored whole, in chains of ``CHAIN`` tokens. Only
+hash and used whole (those over ``SAMPLE_BYTES`` are not), to train the field in
+chains of ``CHAIN`` tokens; texts are scored whole, each as one chain. Only
 rows whose id has a crc32 remainder other than 0 modulo 5 are learnt from. Where
 one id is labelled more than once it counts as toxic if any label says so. Null
 and empty texts have no token and get the score of a text without evidence.
@@ -30,8 +31,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytemill.llm.common import id_remainder, read, utf8
+from bytemill.llm.hashing import parts
 
-SAMPLE = 3000
+SAMPLE, SAMPLE_BYTES = 3000, 1 << 15
 CHAIN = 64
 FEATURES = 1 << 17
 #: Distinct words a task remembers before it starts afresh.
@@ -95,24 +97,85 @@ class Field:
         return ahead, back
 
     def marginals(self, documents: list[np.ndarray], evidence: np.ndarray) -> list[np.ndarray]:
-        """The probability of the toxic label at each token."""
+        """The probability of the toxic label at each token, over each document as one chain."""
+        sizes = np.array([len(d) for d in documents], np.int64)
         out: list[np.ndarray] = []
-        at = 0
-        while at < len(documents):
-            to, held = at, 0
-            while to < len(documents) and (to == at or held + len(documents[to]) <= TOKENS_AT_ONCE):
-                held += len(documents[to])
-                to += 1
-            ids, valid = _chains(documents[at:to])
-            flat = [np.zeros(0)]
-            for k in range(0, len(ids), TOKENS_AT_ONCE // CHAIN):
-                part, some = ids[k : k + TOKENS_AT_ONCE // CHAIN], valid[k : k + TOKENS_AT_ONCE // CHAIN]
-                ahead, back = self.passes(self.emissions(evidence, part, some), some)
-                flat.append((1 / (1 + np.exp(-np.clip(ahead + back, -30, 30))))[some])
-            out += np.split(np.concatenate(flat), np.cumsum([len(d) for d in documents[at:to]])[:-1])
-            at = to
+        for at, to in parts(sizes.tolist(), TOKENS_AT_ONCE):
+            out += np.split(self._whole(np.concatenate(documents[at:to]), sizes[at:to], evidence), np.cumsum(sizes[at:to])[:-1])
         return out
 
+    def _whole(self, ids: np.ndarray, sizes: np.ndarray, evidence: np.ndarray) -> np.ndarray:
+        """Documents are cut in stretches of ``CHAIN`` tokens that run side by side.
+
+        What a stretch does to the odds that come in is a fraction of two linear
+        terms, so a 2 x 2 matrix sums it up; the odds go through these first, one
+        stretch of every document at a time, and then through the tokens.
+        """
+        if not len(ids):
+            return np.zeros(0)
+        ends = np.cumsum(sizes)
+        inner = np.ones(len(ids) - 1, bool)
+        inner[ends[:-1][(ends[:-1] > 0) & (ends[:-1] < len(ids))] - 1] = False
+        flat = evidence[1][ids] + self.bias
+        flat[1:] += np.where(inner, evidence[0][ids[:-1]], 0)
+        flat[:-1] += np.where(inner, evidence[2][ids[1:]], 0)
+        rows = -(-sizes // CHAIN)
+        first = np.cumsum(rows) - rows
+        place = np.arange(len(ids)) - np.repeat(ends - sizes, sizes) + np.repeat(first, sizes) * CHAIN
+        e, valid = np.zeros(int(rows.sum()) * CHAIN), np.zeros(int(rows.sum()) * CHAIN, bool)
+        e[place], valid[place] = flat, True
+        e, valid = e.reshape(-1, CHAIN), valid.reshape(-1, CHAIN)
+        (a, b), (c, d) = np.exp(self.turn)
+        grown = np.exp(np.clip(e, -30, 30))
+        n, some = len(e), rows > 0
+        begins = np.zeros(n, bool)
+        begins[first[some]] = True
+        last = np.zeros(n, bool)
+        last[(first + rows - 1)[some]] = True
+
+        def through(steps: list[tuple[np.ndarray, ...]]) -> np.ndarray:
+            """The product of matrices (p, q, r, s) that are met in this order, each row on its own."""
+            total = np.tile(np.eye(2), (n, 1, 1))
+            for p, q, r, s in steps:
+                top = p[:, None] * total[:, 0] + q[:, None] * total[:, 1]
+                low = r[:, None] * total[:, 0] + s[:, None] * total[:, 1]
+                total = np.stack([top, low], axis=1) / (top + low).sum(axis=1)[:, None, None]
+            return total
+
+        def entering(product: np.ndarray, forward: bool) -> np.ndarray:
+            """The odds at each stretch's near end, from those that leave the stretch before."""
+            odds = np.ones(n)
+            for k in range(1, int(rows.max())):
+                at = (first + k if forward else first + rows - 1 - k)[rows > k]
+                m, x = product[at - 1 if forward else at + 1], odds[at - 1 if forward else at + 1]
+                odds[at] = (m[:, 0, 0] * x + m[:, 0, 1]) / (m[:, 1, 0] * x + m[:, 1, 1])
+            return odds
+
+        one, zero = np.ones(n), np.zeros(n)
+        steps = []
+        for t in range(CHAIN):
+            starts, here = begins & (t == 0), valid[:, t]
+            g = grown[:, t]
+            steps.append(tuple(np.where(here, np.where(starts, x, y), z) for x, y, z in ((zero, d * g, one), (g, b * g, zero), (zero, c * one, zero), (one, a * one, one))))
+        odds = entering(through(steps), True)
+        ahead = np.zeros_like(e)
+        for t, (p, q, r, s) in enumerate(steps):
+            odds = (p * odds + q) / (r * odds + s)
+            ahead[:, t] = odds
+        steps = []
+        following = np.concatenate([grown[1:, 0], [1.0]])
+        for t in range(CHAIN - 1, -1, -1):
+            g = grown[:, t + 1] if t + 1 < CHAIN else following
+            here = valid[:, t + 1] if t + 1 < CHAIN else ~last
+            steps.append(tuple(np.where(here, x, z) for x, z in ((d * g, one), (c * one, zero), (b * g, zero), (a * one, one))))
+        odds = entering(through(steps), False)
+        back = np.zeros_like(e)
+        for t, (p, q, r, s) in zip(range(CHAIN - 1, -1, -1), steps, strict=True):
+            odds = (p * odds + q) / (r * odds + s)
+            back[:, t] = odds
+        both = ahead * back
+        return (both / (1 + both))[valid]
+
 
 class Lexicon:
     """Indices of the words met so far, and their features; a task's memory of it is bounded."""
@@ -251,7 +314,8 @@ def _sample(docs: DataFrame, labels: DataFrame) -> tuple[list[bytes], np.ndarray
     steps = 1 << 20
     least = F.when(F.col("toxic") == 1, min(steps, SAMPLE * steps // counts.get(1, 1))).otherwise(min(steps, SAMPLE * steps // counts.get(0, 1)))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < least).limit(4 * SAMPLE)  # bounded, so it may be broadcast
-    rows = docs.select("doc_id", utf8("text").alias("text")).join(F.broadcast(chosen), "doc_id").collect()
+    short = docs.select("doc_id", utf8("text").alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
+    rows = short.join(F.broadcast(chosen), "doc_id").distinct().limit(4 * SAMPLE).collect()
     rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"]))
     return [bytes(r["text"]) for r in rows], np.array([r["toxic"] for r in rows], int), counts.get(1, 0) / sum(counts.values())
 
