@@ -2,7 +2,8 @@
 
 Document frequencies cover every training document. The weights are learnt by
 follow-the-regularised-leader with elastic-net penalties from a sample of
-``SAMPLE`` documents a language, chosen by id hash and used whole; a fifth of it
+``SAMPLE`` documents a language, chosen by id hash and used whole, for at most the
+``MOST_LANGS`` commonest values of ``lang``; a fifth of it
 is kept apart to fit the temperature. Scoring is one pass of array lookups.
 
 Rows that may be learnt from have a crc32 of their id with a remainder other
@@ -25,7 +26,7 @@ from bytemill.llm.common import id_remainder, read, unused
 
 BITS = 16
 ORDERS = 3
-SAMPLE = 1500
+SAMPLE, MOST_LANGS = 1500, 64
 EPOCHS = 2
 #: FTRL: learning rate, smoothing, L1 and L2 penalties.
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.01
@@ -127,7 +128,7 @@ def _document_frequencies(docs: DataFrame) -> np.ndarray:
 
 def _sample(training: DataFrame, size: int) -> list[tuple[str, str]]:
     """About ``size`` whole texts a language, chosen by id hash: (text, lang)."""
-    counts = {r["lang"]: r["count"] for r in training.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in training.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()}
     if not counts:
         return []
     steps = 1 << 20
