@@ -5,7 +5,8 @@ Equal texts are one group and stay in one shard, unless the group outgrows
 The small groups are gathered by text hash into ``buckets`` units. So the packer
 sees a bounded number of vectors, whatever the number of documents, and puts
 each, largest first, where its dot product with the residual capacity is highest
-among the shards that hold the least bytes. Slots are numbered inside units and
+among all shards whose bytes it fits (where none is left, in the emptiest). Tokens
+are words, counted as spaces and one. Slots are numbered inside units and
 offset by the units before them, so no shard is sorted in one task.
 
 The law is ``bytes``: shard sizes are near equal (``grown_shard`` is null). Null
@@ -27,8 +28,8 @@ OVERHEAD = 16
 BUCKETS = 4096
 SPLIT = 1
 PART = 64
-#: A shard may take a unit while its bytes are within this share of the least filled one's.
-LEVEL = 0.02
+#: A shard may take a unit while it stays within this share of its equal part of all bytes.
+SLACK = 0.005
 
 
 def place(loads: np.ndarray, shards: int) -> np.ndarray:
@@ -38,9 +39,9 @@ def place(loads: np.ndarray, shards: int) -> np.ndarray:
     residual = np.ones((shards, vectors.shape[1]))
     chosen = np.zeros(len(loads), np.int64)
     for i in np.argsort(-vectors.max(axis=1), kind="stable"):
-        room = residual[:, 0]
-        score = np.where(room >= room.max() - LEVEL, residual @ vectors[i], -np.inf)
-        chosen[i] = int(np.argmax(score))
+        room = residual[:, 0] - vectors[i, 0]
+        fits = room >= -SLACK
+        chosen[i] = int(np.argmax(np.where(fits, residual @ vectors[i], -np.inf) if fits.any() else room))
         residual[chosen[i]] -= vectors[i]
     return chosen
 
